@@ -10,7 +10,11 @@ text is cut like any other; no documents give no records. Only the last sequence
 
 from __future__ import annotations
 
+import os
+import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +26,22 @@ from .common import cut, text_slices
 
 WINDOW, END_ID = 2048, 1
 #: Pieces of text whose ids a worker remembers.
-MEMORY = 300_000
+MEMORY = 400_000
+MARK = "<|endoftext|>"
+#: A single comma or full stop between an ASCII letter and white space.
+_LETTER_STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
+#: Lower-case letters of ASCII and Latin-1 in UTF-8: normalising leaves them as they are, and a run of them is one word of the vocabulary's model.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+").fullmatch
+
+
+def _byte_chars() -> dict[int, int]:
+    """The characters by which byte-level models write bytes: printable ones stand for themselves, the others for 256 and up in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + k for k, b in enumerate(rest)}
+
+
+_BYTE_CHARS = _byte_chars()
 
 
 def default_vocabulary() -> str:
@@ -35,34 +54,67 @@ class Encoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are those of its pieces between ASCII white space,
-    one after another; pieces recur, and their ids are remembered.
+    one after another; pieces recur, and their ids are remembered. A comma or full stop after an ASCII letter is a piece of its own. New pieces are
+    encoded together, with the vocabulary's closing token between them.
     """
 
     def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.mark, self.known = self.tokenizer.token_to_id(MARK), {}
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.lower().split() for t in texts]
+    def _alone(self, piece: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _encode(self, pieces: list[bytes]) -> None:
         known = self.known
-        new = [w for w in {w for ws in split for w in ws} if w not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list({w for ws in split for w in ws})
-            for lo in range(0, len(new), 4096):
-                part = new[lo : lo + 4096]
-                for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        plain = []
+        tokenize = self.tokenizer.model.tokenize
+        for w in pieces:
+            if _LETTERS(w):
+                known[w] = array("I", [t.id for t in tokenize(w.decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+            elif b"<|" in w:  # may hold a special token
+                known[w] = self._alone(w)
+            else:
+                plain.append(w)
+        for lo in range(0, len(plain), 2048):
+            part = plain[lo : lo + 2048]
+            joined = f" {MARK} ".join([w.decode("utf-8", "replace") for w in part])
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part) - 1:
+                for w in part:
+                    known[w] = self._alone(w)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, end in zip(part, [*cuts.tolist(), len(ids)], strict=True):
+                known[w] = data[4 * at : 4 * end]
+                at = end + 1
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        split = [_LETTER_STOP.sub(rb" \1", t.lower()).split() for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known.clear()
+            new = set().union(*split)
+        self._encode(list(new))
+        find = self.known.__getitem__
+        return [b"".join(map(find, ws)) for ws in split]
+
+
+@lru_cache(1)
+def encoder(vocabulary: str) -> Encoder:
+    """One for each worker; what it remembers serves the worker's next tasks."""
+    return Encoder(vocabulary)
 
 
 def tokenise(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, run (task), at (ids before it in its run), n and ids (16-bit if all fit, else 32-bit, little-endian)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at, end = Encoder(vocabulary), 0, np.array([end_id], "<u4").tobytes()
+        encode, at, end = encoder(vocabulary), 0, np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         for keys, texts in text_slices(batches):
             ids = [x + end for x in encode(texts)]
