@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import cut, text_slices
 
 WINDOW, END_ID = 2048, 1
-#: Pieces of text whose ids a worker remembers.
-MEMORY = 400_000
+#: Pieces of text in each of the two halves of what a worker remembers.
+MEMORY = 250_000
 MARK = "<|endoftext|>"
 #: A single comma or full stop between an ASCII letter and white space.
 _LETTER_STOP = re.compile(rb"(?<=[a-z])([,.])(?=[ \n])")
@@ -63,7 +63,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.mark, self.known = self.tokenizer.token_to_id(MARK), {}
+        self.mark, self.known, self.older = self.tokenizer.token_to_id(MARK), {}, {}
 
     def _alone(self, piece: bytes) -> bytes:
         return np.array(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -96,10 +96,12 @@ class Encoder:
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         split = [_LETTER_STOP.sub(rb" \1", t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
+        if len(self.known) + len(new) > MEMORY:  # the older half goes, but for what is used again
+            self.older, self.known = self.known, {}
             new = set().union(*split)
-        self._encode(list(new))
+        again = new & self.older.keys()
+        self.known.update((w, self.older[w]) for w in again)
+        self._encode(list(new - again))
         find = self.known.__getitem__
         return [b"".join(map(find, ws)) for ws in split]
 

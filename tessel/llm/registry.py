@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, ngramjoin, packing, quality, urlfilter
+from . import chat, decontam, licenses, lm, ngramjoin, packing, quality, urlfilter
 from .common import table
 
 
@@ -79,12 +79,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, *lm.train(docs))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_packing, op4_benchmark_decontamination, op6_license_scans, op8_url_filters, op10_quality_rules)
+    for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_packing, op4_benchmark_decontamination, op5_lm_scoring, op6_license_scans, op8_url_filters, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_url_filters": OP8_SQL}
