@@ -1,6 +1,6 @@
 """N-gram Jaccard join by token-combination prefixes: single rare tokens, pairs of frequent ones, then exact verification.
 
-A token is a distinct five-word shingle (64-bit hash, 56 bits kept). Steps:
+A token is a distinct five-word shingle, by a hash of 40 bits and those of its range; ranges grow with the number of shuffle partitions. Steps:
 
 1. Counting. Chunks of documents send their tokens, packed by hash range, to the ranges' tasks, which return to each chunk those
    that other documents hold too, with document frequencies. A document of which fewer than 80 % are shared can link with nothing.
@@ -58,6 +58,27 @@ def shingle_sets(texts: list[bytes], n: int = N) -> list[np.ndarray]:
     return out
 
 
+def _packed(own: np.ndarray, documents: int, values: np.ndarray, codes: np.ndarray | None = None) -> bytes:
+    """Values of 40 bits, their documents (ascending numbers inside a chunk, as counts for each) and, where given, their frequency codes."""
+    counts = np.bincount(own, minlength=documents)
+    parts = [np.array([documents, len(values)], "<u4").tobytes(), counts.astype("<u4").tobytes(), (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (values >> np.uint64(32)).astype("u1").tobytes()]
+    return b"".join(parts if codes is None else [*parts, codes.astype("u1").tobytes()])
+
+
+def _unpacked(data: bytes, bucket: int, bits: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of documents, each value's document, the values with their bucket's bits, and the codes (empty where there are none)."""
+    m, n = np.frombuffer(data, "<u4", 2).tolist()
+    own = np.repeat(np.arange(m, dtype=np.uint32), np.frombuffer(data, "<u4", m, 8))
+    at = 8 + 4 * m
+    values = np.frombuffer(data, "u1", n, at + 4 * n).astype(np.uint64) << np.uint64(32) | np.frombuffer(data, "<u4", n, at)
+    return m, own, (values << np.uint64(bits)) | np.uint64(bucket), np.frombuffer(data, "u1", -1, at + 5 * n)
+
+
+def _code(df: np.ndarray) -> np.ndarray:
+    """Frequencies in one byte: exact to 64, then eighths of a doubling."""
+    return np.where(df <= 64, df, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(df, 1) / 64)))).astype(np.int64)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     keys, sets, size = [], [], 0
     for ids, texts in text_slices(batches):
@@ -82,7 +103,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
         part = TaskContext.get().partitionId()
         for k, (keys, sets) in enumerate(_chunks(batches)):
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            flat = np.concatenate(sets) >> np.uint64(8)
+            flat = np.concatenate(sets) & np.uint64((1 << (40 + bits)) - 1)
             own = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
             bucket = (flat & low).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -91,49 +112,34 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
             data = [b"".join([np.array([-1 if x is None else x for x in keys], "<i8").tobytes(), n.astype("<i8").tobytes(), np.array([x is None for x in keys], np.int8).tobytes()])]
             for b in filled:
                 lo, hi = edges[b], edges[b + 1]
-                counts = np.bincount(own[lo:hi], minlength=len(sets))
-                present = np.flatnonzero(counts)
-                data.append(b"".join([np.array([len(present), hi - lo], "<u4").tobytes(), present.astype("<u4").tobytes(), counts[present].astype("<u4").tobytes(), (flat[lo:hi] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (flat[lo:hi] >> np.uint64(32)).astype("<u4" if bits < 8 else "<u2").tobytes()]))
+                data.append(_packed(own[lo:hi], len(sets), flat[lo:hi]))
             chunk = (part << 24) + k
             # The chunk's list of documents travels with one of the buckets and is passed on as it is.
             yield pa.RecordBatch.from_arrays([pa.array([chunk % (1 << bits), *filled], pa.int32()), pa.array([chunk] * len(data), pa.int64()), pa.array([True] + [False] * len(filled)), pa.array(data, pa.binary())], ["bucket", "chunk", "head", "data"])
 
-    def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        m, n = np.frombuffer(data, "<u4", 2).tolist()
-        present, counts = np.frombuffer(data, "<u4", m, 8), np.frombuffer(data, "<u4", m, 8 + 4 * m)
-        at = 8 + 8 * m
-        high = np.frombuffer(data, "<u4" if bits < 8 else "<u2", n, at + 4 * n).astype(np.uint64) << np.uint64(32)
-        return np.repeat(present, counts), high | np.frombuffer(data, "<u4", n, at)
-
     def count(group: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group["bucket"].iloc[0])
         heads, group = group[group["head"]], group[~group["head"]]
         if not len(group):
-            return heads[["chunk", "head", "data"]]
-        found = [unpack(d) for d in group["data"]]
-        values = np.concatenate([v for _, v in found])
-        _, inverse, df = np.unique(values, return_inverse=True, return_counts=True)
+            return heads
+        found = [_unpacked(d, bucket, bits)[:3] for d in group["data"]]
+        _, inverse, df = np.unique(np.concatenate([v for _, _, v in found]), return_inverse=True, return_counts=True)
         df, out, at = df[inverse], [], 0
-        for own, v in found:
+        for m, own, v in found:
             f = df[at : at + len(v)]
             at += len(v)
             keep = f > 1
-            full = (v[keep] << np.uint64(bits)) | np.uint64(bucket)
-            out.append(b"".join([np.array([keep.sum()], "<u8").tobytes(), full.tobytes(), own[keep].astype("<u4").tobytes(), np.minimum(f[keep], 2**31 - 1).astype("<u4").tobytes()]))
-        return pd.concat([heads[["chunk", "head", "data"]], pd.DataFrame({"chunk": group["chunk"], "head": False, "data": out})])
+            out.append(_packed(own[keep], m, v[keep] >> np.uint64(bits), _code(f[keep])) if keep.any() else None)
+        counted = pd.DataFrame({"bucket": bucket, "chunk": group["chunk"], "head": False, "data": out}).dropna()
+        return pd.concat([heads, counted])
 
     def gather(group: pd.DataFrame) -> pd.DataFrame:
-        head = group["data"][group["head"]].iloc[0]
+        head, body = group["data"][group["head"]].iloc[0], group[~group["head"]]
         m = len(head) // 17
         keys, n = np.frombuffer(head, "<i8", m), np.frombuffer(head, "<i8", m, 8 * m)
         null = np.frombuffer(head, np.int8, m, 16 * m)
-        values, own, df = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
-        for d in group["data"][~group["head"]]:
-            k = int(np.frombuffer(d, "<u8", 1)[0])
-            values.append(np.frombuffer(d, "<u8", k, 8))
-            own.append(np.frombuffer(d, "<u4", k, 8 + 8 * k))
-            df.append(np.frombuffer(d, "<u4", k, 8 + 12 * k))
-        values, own, df = map(np.concatenate, (values, own, df))
+        found = [_unpacked(d, int(b), bits)[1:] for b, d in zip(body["bucket"], body["data"], strict=True)]
+        own, values, df = (np.concatenate([np.empty(0, t), *(f[k] for f in found)]) for k, t in enumerate((np.uint32, np.uint64, np.uint8)))
         order = np.lexsort((values, df, own))
         values, df, edges = values[order].astype(np.int64), df[order], np.searchsorted(own[order], np.arange(m + 1))
         tokens, freqs = [None] * m, [None] * m
@@ -142,7 +148,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"doc_id": pd.array([None if x else k for k, x in zip(keys.tolist(), null, strict=True)], dtype="Int64"), "n": n, "tokens": tokens, "dfs": freqs})
 
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "bucket int, chunk long, head boolean, data binary")
-    counted = sent.groupBy("bucket").applyInPandas(count, "chunk long, head boolean, data binary")
+    counted = sent.groupBy("bucket").applyInPandas(count, "bucket int, chunk long, head boolean, data binary")
     return counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, tokens array<long>, dfs array<int>")
 
 
@@ -237,15 +243,23 @@ def join_classes(docs: DataFrame) -> DataFrame:
     rank = F.expr("row_number() OVER (PARTITION BY sig ORDER BY doc_id)")
     sig = cut(sig.withColumn("rank", rank), "signatures")
     links = copies
-    done, step = 0, 1
+    done, step, first = 0, 1, True
     while True:
         last = done + step
         pivots = sig.where((F.col("rank") > done) & (F.col("rank") <= last)).select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
         fits = (F.col("rank") > F.col("rb")) & (F.col("comp") != F.col("cb")) & (100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb"))
-        pairs = sig.join(pivots, "sig").where(fits).select(F.col("doc_id").alias("a"), "b").distinct()
+        pairs = sig.join(pivots, "sig").where(fits)
+        if first:  # one comparison for each member, with the smallest of its buckets' pivots, joins most of a group of copies
+            pairs = pairs.groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
+        else:
+            pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct()
         links = cut(links.unionByName(_verified(pairs, reps)), "links")
         roots = components(links)
-        done, step = last, 4 * step
+        if first:
+            first, last = False, 0
+        else:
+            step *= 4
+        done = last
         sig = sig.join(roots, sig["doc_id"] == roots["node"], "left").select("sig", "doc_id", "n", "rank", F.coalesce("root", "doc_id").alias("comp"))
         left = sig.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("members")).where((F.col("lo") != F.col("hi")) & (F.col("members") > done + 1))
         sig = cut(sig.join(left.select("sig"), "sig", "left_semi"), "signatures")
