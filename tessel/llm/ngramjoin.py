@@ -20,7 +20,7 @@ doc_id takes no part (its component is null); rows that share a doc_id are one n
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -79,11 +79,11 @@ def _code(df: np.ndarray) -> np.ndarray:
     return np.where(df <= 64, df, np.minimum(255, 64 + np.floor(8 * np.log2(np.maximum(df, 1) / 64)))).astype(np.int64)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
+def _chunks(batches: Iterator[pa.RecordBatch], sets_of: Callable = shingle_sets) -> Iterator[tuple[list, list[np.ndarray]]]:
     keys, sets, size = [], [], 0
     for ids, texts in text_slices(batches):
         keys += ids
-        new = shingle_sets(texts)
+        new = sets_of(texts)
         sets += new
         size += sum(map(len, new))
         if size >= CHUNK:
@@ -93,15 +93,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
         yield keys, sets
 
 
-def shared_tokens(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), tokens (those that other documents hold, by frequency and value; null if too few to link) and frequencies."""
+def token_bits(parts: int) -> int:
+    return max(6, (4 * parts - 1).bit_length())
+
+
+def shared_tokens(docs: DataFrame, sets_of: Callable = shingle_sets, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n (set size), tokens (those that other documents hold, by frequency and value; null if none or under percent of n) and frequencies.
+
+    A token is the low 40 bits, and those of the ranges, of the 64-bit numbers that sets_of gives for a list of texts.
+    """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (4 * parts - 1).bit_length())
+    bits = token_bits(parts)
     low = np.uint64((1 << bits) - 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for k, (keys, sets) in enumerate(_chunks(batches)):
+        for k, (keys, sets) in enumerate(_chunks(batches, sets_of)):
             n = np.array([len(s) for s in sets], dtype=np.int64)
             flat = np.concatenate(sets) & np.uint64((1 << (40 + bits)) - 1)
             own = np.repeat(np.arange(len(sets), dtype=np.uint32), n)
@@ -143,7 +150,7 @@ def shared_tokens(docs: DataFrame) -> DataFrame:
         order = np.lexsort((values, df, own))
         values, df, edges = values[order].astype(np.int64), df[order], np.searchsorted(own[order], np.arange(m + 1))
         tokens, freqs = [None] * m, [None] * m
-        for k in np.flatnonzero((100 * np.diff(edges) >= PERCENT * n) & (n > 0) & (null == 0)):
+        for k in np.flatnonzero((100 * np.diff(edges) >= percent * n) & (np.diff(edges) > 0) & (null == 0)):
             tokens[k], freqs[k] = values[edges[k] : edges[k + 1]], df[edges[k] : edges[k + 1]].astype(np.int32)
         return pd.DataFrame({"doc_id": pd.array([None if x else k for k, x in zip(keys.tolist(), null, strict=True)], dtype="Int64"), "n": n, "tokens": tokens, "dfs": freqs})
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, licenses, lm, ngramjoin, packing, quality, secretscan, urlfilter
+from . import chat, decontam, licenses, lm, ngramjoin, packing, quality, sadedup, secretscan, urlfilter
 from .common import table
 
 
@@ -88,12 +88,16 @@ def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sadedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_packing, op4_benchmark_decontamination, op5_lm_scoring, op6_license_scans, op8_url_filters, op9_secret_scans, op10_quality_rules)
+    for f in (op1_chat_formatting, op2_ngram_jaccard_join, op3_packing, op4_benchmark_decontamination, op5_lm_scoring, op6_license_scans, op7_suffix_array_dedup, op8_url_filters, op9_secret_scans, op10_quality_rules)
 }
 ORACLE_SQL: dict[str, str] = {"op1_chat_formatting": OP1_SQL, "op8_url_filters": OP8_SQL}
