@@ -8,7 +8,7 @@ A pair counts when its exact weighted Jaccard similarity reaches THRESHOLD; a sh
 times log(1 + items / items that hold it).
 
 Defined cases: null or blank texts and items match nothing; items of fewer than five words are one shingle of all their words and match
-windows of that many words; rows that share a doc_id are one document; a document without an id matches nothing; items that repeat are
+windows of that many words; texts that share a doc_id are looked at each by itself and give one row for an item; a document without an id matches nothing; items that repeat are
 matched one by one. The items' shingles, and the places of candidate windows, are broadcast only if their counted rows are few, else joined by a shuffle.
 """
 
@@ -77,40 +77,40 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     own = flat.groupBy("item", "item_id", "n", "h").agg(F.count(F.lit(1)).cast("double").alias("tf")).join(idf, "h").select("item", "item_id", "n", "h", whole(F.col("idf")).alias("weight"))
     own = cut(own, "items")
 
-    d = docs.where("doc_id IS NOT NULL").select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    d = docs.where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64("text").alias("th")).alias("doc"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     small = [r[0] for r in flat.where(f"n < {N}").select("n").distinct().collect()]  # at most four numbers
     places = f"transform(sequence(0, size(w) - {N}), i -> struct(i AS at, xxhash64(w[i], w[i + 1], w[i + 2], w[i + 3], w[i + 4]) AS h))"
     places = f"CASE WHEN size(w) >= {N} THEN {places} ELSE cast(array() AS array<struct<at: int, h: bigint>>) END"
     for n in small:
         places = f"concat({places}, CASE WHEN size(w) >= {n} THEN transform(sequence(0, size(w) - {n}), i -> struct(i AS at, xxhash64(slice(w, i + 1, {n})) AS h)) ELSE array() END)"
-    hits = d.select("doc_id", F.size("w").alias("size"), F.expr(f"inline({places})"))
+    hits = d.select("doc", F.size("w").alias("size"), F.expr(f"inline({places})"))
     spots = flat.groupBy("h").agg(F.collect_set(F.struct("item", "at", "n")).alias("spots"))
-    hits = hits.join(checked_broadcast(spots), "h").select("doc_id", "size", "at", F.explode("spots").alias("p"))
+    hits = hits.join(checked_broadcast(spots), "h").select("doc", "size", "at", F.explode("spots").alias("p"))
     start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("p.at"), F.col("size") - F.col("p.n")))
-    windows = cut(hits.select("doc_id", start.cast("int").alias("start"), F.col("p.n").alias("n")).distinct(), "windows")
+    windows = cut(hits.select("doc", start.cast("int").alias("start"), F.col("p.n").alias("n")).distinct(), "windows")
 
-    lengths = checked_broadcast(cut(windows.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("places")), "windows"))
-    text = d.join(lengths, "doc_id").select("doc_id", "w", F.explode("places").alias("p")).select("doc_id", "p.start", "p.n", F.expr("slice(w, p.start + 1, p.n)").alias("x"))
-    win = text.select("doc_id", "start", "n", F.explode(F.expr(shingles("x"))).alias("h")).groupBy("doc_id", "start", "n", "h").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    lengths = checked_broadcast(cut(windows.groupBy("doc").agg(F.collect_set(F.struct("start", "n")).alias("places")), "windows"))
+    text = d.join(lengths, "doc").select("doc", "w", F.explode("places").alias("p")).select("doc", "p.start", "p.n", F.expr("slice(w, p.start + 1, p.n)").alias("x"))
+    win = text.select("doc", "start", "n", F.explode(F.expr(shingles("x"))).alias("h")).groupBy("doc", "start", "n", "h").agg(F.count(F.lit(1)).cast("double").alias("tf"))
     other = F.log(1 + F.lit(float(max(n_items, 1))))  # a shingle that no item holds weighs as one that a single item holds
-    win = cut(win.join(idf, "h", "left").select("doc_id", "start", "n", "h", whole(F.coalesce("idf", other)).alias("weight")), "windows")
+    win = cut(win.join(idf, "h", "left").select("doc", "start", "n", "h", whole(F.coalesce("idf", other)).alias("weight")), "windows")
 
     item_prints = simhash(own, ["item", "item_id", "n"], "h", "weight")
     index = item_prints.select("item", "item_id", F.col("n").alias("item_n"), F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b"))
     index = index.select("item", "item_id", "item_n", "item_print", "b.block", F.explode(neighbours()).alias("value"))
-    doc_prints = simhash(win, ["doc_id", "start", "n"], "h", "weight").select("*", F.explode(blocks("print")).alias("b")).select("doc_id", "start", "n", "print", "b.block", "b.value")
+    doc_prints = simhash(win, ["doc", "start", "n"], "h", "weight").select("*", F.explode(blocks("print")).alias("b")).select("doc", "start", "n", "print", "b.block", "b.value")
     apart = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
     pairs = doc_prints.join(index, ["block", "value"]).where((F.col("n") == F.col("item_n")) & (apart <= RADIUS))
-    pairs = pairs.select("doc_id", "start", "n", "item", "item_id", apart.alias("distance")).distinct()
+    pairs = pairs.select("doc", "start", "n", "item", "item_id", apart.alias("distance")).distinct()
 
-    sides = pairs.join(win.select("doc_id", "start", "n", "h", F.col("weight").alias("a")), ["doc_id", "start", "n"])
+    sides = pairs.join(win.select("doc", "start", "n", "h", F.col("weight").alias("a")), ["doc", "start", "n"])
     total = own.groupBy("item").agg(F.sum("weight").alias("item_total"))
     sides = sides.join(own.select("item", "h", F.col("weight").alias("b")), ["item", "h"], "left").join(total, "item")
     both, mine = F.sum(F.least("a", F.coalesce("b", F.lit(0)))), F.sum("a")
-    sim = sides.groupBy("doc_id", "start", "n", "item", "item_id", "distance", "item_total").agg(both.alias("both"), mine.alias("mine"))
+    sim = sides.groupBy("doc", "start", "n", "item", "item_id", "distance", "item_total").agg(both.alias("both"), mine.alias("mine"))
     sim = sim.withColumn("similarity", F.col("both") / (F.col("mine") + F.col("item_total") - F.col("both"))).where(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("start", "n", "similarity", "distance"), F.struct("similarity", -F.col("start"))).alias("m")
-    out = sim.groupBy("doc_id", "item", "item_id").agg(best)
+    out = sim.groupBy(F.col("doc.doc_id").alias("doc_id"), "item_id").agg(best)
     return out.select("doc_id", "item_id", F.col("m.start").alias("start"), F.col("m.n").alias("n_words"), F.round("m.similarity", 6).alias("similarity"), F.col("m.distance").alias("distance"))
 
 
