@@ -260,14 +260,16 @@ def join_classes(docs: DataFrame) -> DataFrame:
             pairs = pairs.groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
         else:
             pairs = pairs.select(F.col("doc_id").alias("a"), "b").distinct()
-        links = cut(links.unionByName(_verified(pairs, reps)), "links")
-        roots = components(links)
+        found = cut(_verified(pairs, reps), "links")
+        if first or not found.isEmpty():  # else the components are as they were
+            links = cut(links.unionByName(found), "links")
+            roots = components(links)
+            sig = sig.join(roots, sig["doc_id"] == roots["node"], "left").select("sig", "doc_id", "n", "rank", F.coalesce("root", "doc_id").alias("comp"))
         if first:
             first, last = False, 0
         else:
-            step *= 4
+            step *= 16
         done = last
-        sig = sig.join(roots, sig["doc_id"] == roots["node"], "left").select("sig", "doc_id", "n", "rank", F.coalesce("root", "doc_id").alias("comp"))
         left = sig.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("members")).where((F.col("lo") != F.col("hi")) & (F.col("members") > done + 1))
         sig = cut(sig.join(left.select("sig"), "sig", "left_semi"), "signatures")
         if sig.isEmpty():
