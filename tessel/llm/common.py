@@ -33,10 +33,16 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write the rows to the shared folder and read them back, which cuts the lineage."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver collect garbage, upon which Spark removes the files of shuffles that no plan holds any more; by itself it waits for a full heap or half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def checked_broadcast(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """Marks a table of short rows for broadcast if it counts at most so many rows; a larger one is joined by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -4,8 +4,10 @@
    holds one at the same place in every document. A hash exchange returns to each document the anchors that others hold.
 2. Snippets. An anchor's snippet is the 75 bytes around it, which hold all 50-byte strings over it. The smallest document
    of equal snippets is found by hash; in the others the whole snippet goes.
-3. Suffix arrays. Where snippets of an anchor differ, each snippet's first document puts it into a block; a suffix array by linear grouping
-   (gsaca.py) over the block's bytes sorts them, neighbours with 50 equal bytes form classes, and a hash of a class's bytes
+3. Suffix arrays. The 50-byte strings over an anchor fall into RANGES by where the anchor lies in them; all strings of a range hold the same
+   core around the anchor. Where snippets that differ share a core, that range's strings may be shared too; all others are not. A document's
+   remaining strings, less those in snippets that go, make up runs of bytes, each byte once, and the runs fill blocks. A suffix array by linear
+   grouping (gsaca.py) over the block's bytes sorts them, neighbours with 50 equal bytes form classes, and a hash of a class's bytes
    joins the blocks' classes, which gives each string's smallest document. Blocks are bounded by BLOCK bytes, so no group meets in one task.
 Exact copies of a whole text are settled by its hash beforehand and lose all bytes if there are 50.
 
@@ -28,7 +30,9 @@ from .gsaca import suffix_array
 from .ngramjoin import shared_tokens, token_bits
 
 LENGTH, GRAM = 50, 25
-#: Bytes of snippets that are sorted in one suffix array.
+#: Distances (least, greatest) from a string's start to its anchor.
+RANGES = ((0, 12), (13, 25))
+#: Bytes of runs that are sorted in one suffix array.
 BLOCK = 1 << 18
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _P = 0x9E3779B97F4A7C15
@@ -75,6 +79,36 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def cores(text: bytes, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each range a row with the hashes of the bytes that all its strings over the anchors share; other where the text ends before."""
+    buf, out, known = np.frombuffer(text, np.uint8), [], {}
+    for lo, hi in RANGES:
+        n = LENGTH - (hi - lo)
+        if n not in known:
+            known[n] = _grams(buf, n).astype(np.int64)
+        fits = (at >= lo) & (at - lo < len(known[n]))
+        out.append(np.where(fits, known[n][np.where(fits, at - lo, 0)], other))
+    return np.stack(out)
+
+
+def open_runs(n: int, marks: list) -> Iterator[tuple[int, int]]:
+    """First and last start of each run of strings of a text of n bytes that the suffix arrays settle, cut to BLOCK starts."""
+    ask, gone = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    for m in marks:
+        at, spans = m["at"], [(0, GRAM)] if m["gone"] else [r for j, r in enumerate(RANGES) if m["v"] >> j & 1]
+        for lo, hi in spans:
+            a, b = max(0, at - hi), min(n - LENGTH, at - lo)
+            if a <= b:
+                step = gone if m["gone"] else ask
+                step[a] += 1
+                step[b + 1] -= 1
+    wanted = np.concatenate([[False], (np.cumsum(ask) > 0) & (np.cumsum(gone) == 0), [False]])
+    edges = np.flatnonzero(wanted[1:] != wanted[:-1])
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        for lo in range(a, b, BLOCK):
+            yield lo, min(b, lo + BLOCK) - 1
+
+
 def anchor_sets(texts: list[bytes]) -> list[np.ndarray]:
     return [np.unique(anchors(t)[1]) for t in texts]
 
@@ -99,8 +133,8 @@ def _result(key, text: bytes, starts: np.ndarray) -> tuple:
     return key, n, int(gone.sum()), _runs(gone), hashlib.sha256(np.frombuffer(text, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def classes(snippets: list[bytes]) -> list[tuple[int, int, int]]:
-    """(snippet, start in it, class key) for every 50-byte string of the snippets; equal strings have equal keys, here and in other blocks."""
+def classes(snippets: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Snippet, start in it, and class key for every 50-byte string of the snippets; equal strings have equal keys, here and in other blocks."""
     symbols, starts, own = [], [], []
     for k, s in enumerate(snippets):
         starts.append(np.arange(len(s) - LENGTH + 1) + len(symbols))
@@ -108,7 +142,7 @@ def classes(snippets: list[bytes]) -> list[tuple[int, int, int]]:
         symbols += s
         symbols.append(256)
     if not symbols:
-        return []
+        return (np.empty(0, np.int64),) * 3
     starts, own = np.concatenate(starts), np.concatenate(own)
     snippet = np.full(len(symbols), -1)
     snippet[starts] = own
@@ -122,7 +156,7 @@ def classes(snippets: list[bytes]) -> list[tuple[int, int, int]]:
     keys = mix((_TABLE[views[first]] * power).sum(axis=1, dtype=np.uint64)).astype(np.int64)[np.cumsum(new) - 1]
     begin = np.searchsorted(starts, order)
     base = np.concatenate([[0], np.cumsum([len(s) + 1 for s in snippets])])[own[begin]]
-    return list(zip(own[begin].tolist(), (order - base).tolist(), keys.tolist(), strict=True))
+    return own[begin], order - base, keys
 
 
 FINAL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -137,10 +171,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     copies = cut(ids.join(first, ["h0", "h1", "h2"]).where("doc_id > root").select("doc_id", "h0", "h1").distinct(), "copies")
     shared = shared_tokens(docs, anchor_sets, 0).where("tokens IS NOT NULL").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
     bits = token_bits(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    mask = np.uint64((1 << (40 + bits)) - 1)
+    mask, core = np.uint64((1 << (40 + bits)) - 1), [f"core{j}" for j in range(len(RANGES))]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts without shared anchors and copies are done; the others go on with their anchors' places and hashes."""
+        none = [None] * (3 + len(RANGES))
         for b in batches:
             for lo in range(0, b.num_rows, 200):
                 part, out = b.slice(lo, 200).to_pydict(), []
@@ -148,57 +183,60 @@ def dedup(docs: DataFrame) -> DataFrame:
                     raw = _raw(text)
                     at = h = np.empty(0, np.int64)
                     if copy is not None and len(raw) >= LENGTH:
-                        out.append((*_result(key, raw, np.arange(len(raw) - LENGTH + 1)), None, None, None, None))
+                        out.append((*_result(key, raw, np.arange(len(raw) - LENGTH + 1)), *none))
                         continue
                     if tokens and key is not None:
                         at, h = anchors(raw)
                         keep = np.isin(h & mask, np.array(tokens, np.int64).astype(np.uint64))
                         at, h = at[keep], h[keep]
                     if not len(at):
-                        out.append((*_result(key, raw, at), None, None, None, None))
+                        out.append((*_result(key, raw, at), *none))
                         continue
                     snips = [hashlib.blake2b(raw[max(0, p - GRAM) : p + LENGTH] + bytes([min(p, GRAM)]), digest_size=8).digest() for p in at.tolist()]
-                    out.append((key, len(raw), None, None, None, text, at.tolist(), np.frombuffer(b"".join(snips), "<i8").tolist(), h.astype(np.int64).tolist()))
-                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.int64())] * 3
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "at", "snip", "anchor"])
+                    snips = np.frombuffer(b"".join(snips), "<i8")
+                    out.append((key, len(raw), None, None, None, text, at.tolist(), snips.tolist(), *cores(raw, at, snips).tolist()))
+                kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.int64())] * (2 + len(RANGES))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "at", "snip", *core])
 
     flagged = docs.join(shared, "doc_id", "left").join(copies.withColumns({"c0": F.col("h0"), "c1": F.col("h1")}).select("doc_id", "c0", "c1"), "doc_id", "left")
     flagged = flagged.select("doc_id", "text", "tokens", F.when((F.col("c0") == F.xxhash64("text")) & (F.col("c1") == F.xxhash64(F.lit(5), "text")), 1).alias("copy"))
-    seen = cut(flagged.mapInArrow(look, f"{FINAL}, text string, at array<long>, snip array<long>, anchor array<long>"), "anchored")
-    done, todo = seen.where("at IS NULL").select(*[f.split()[0] for f in FINAL.split(", ")]), seen.where("at IS NOT NULL").select("doc_id", "text", "at", "snip", "anchor")
-
-    rows = todo.select("doc_id", F.explode(F.arrays_zip("at", "snip", "anchor")).alias("x")).select("doc_id", "x.at", "x.snip", "x.anchor")
-    snips = cut(rows.groupBy("snip").agg(F.min("doc_id").alias("root"), F.min("anchor").alias("anchor"), F.min("doc_id") != F.max("doc_id")).toDF("snip", "root", "anchor", "many"), "snippets")
-    variants = snips.groupBy("anchor").agg((F.count(F.lit(1)) > 1).alias("varied"))
-    state = snips.join(variants, "anchor").where("many OR varied").select("snip", "root", "varied")
-    marks = rows.join(state, "snip").withColumn("gone", F.col("root") < F.col("doc_id")).where("gone OR varied")
-    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gone")).alias("marks"))
-    marked = cut(todo.select("doc_id", "text").join(marks, "doc_id", "left"), "marked")
+    seen = cut(flagged.mapInArrow(look, f"{FINAL}, text string, at array<long>, snip array<long>, " + ", ".join(f"{c} array<long>" for c in core)), "anchored")
+    done, todo = seen.where("at IS NULL").select(*[f.split()[0] for f in FINAL.split(", ")]), seen.where("at IS NOT NULL").select("doc_id", "text", "at", "snip", *core)
+
+    rows = todo.select("doc_id", F.explode(F.arrays_zip("at", "snip", *core)).alias("x")).select("doc_id", "x.at", "x.snip", *(f"x.{c}" for c in core))
+    snips = cut(rows.groupBy("snip").agg(F.min("doc_id"), *map(F.min, core), F.min("doc_id") != F.max("doc_id")).toDF("snip", "root", *core, "many"), "snippets")
+    parts = snips.select("snip", F.posexplode(F.array(*core)).alias("j", "core"))
+    varied = parts.groupBy("j", "core").agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    varied = parts.join(varied, ["j", "core"], "left_semi").groupBy("snip").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("v"))
+    state = snips.join(varied, "snip", "left").where("many OR v IS NOT NULL").select("snip", "root", F.coalesce("v", F.lit(0)).alias("v"))
+    marks = rows.select("doc_id", "at", "snip").join(state, "snip").withColumn("gone", F.col("root") < F.col("doc_id")).where("gone OR v > 0")
+    marks = marks.groupBy("doc_id").agg(F.collect_list(F.struct("at", "gone", "v")).alias("marks"))
+    marks = cut(marks, "marks")
+    marked = todo.select("doc_id", "text").join(marks, "doc_id", "left")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Class keys of the strings in snippets that differ from others of their anchor."""
+        """Class keys of the strings in open runs."""
         snippets, owners, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            found = [(owners[k][0], owners[k][1] + at, key) for k, at, key in classes(snippets)]
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ([], [], []))], names=["doc_id", "at", "key"])
+            own, at, key = classes(snippets)
+            docs_, lows = (np.array([o[k] for o in owners], np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(docs_[own]), pa.array(lows[own] + at), pa.array(key)], names=["doc_id", "at", "key"])
 
         for b in batches:
             for key, text, marks in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 raw = _raw(text)
-                for m in marks or []:
-                    lo, hi = max(0, m["at"] - GRAM), min(len(raw), m["at"] + LENGTH)
-                    if not m["gone"] and hi - lo >= LENGTH:
-                        snippets.append(raw[lo:hi])
-                        owners.append((key, lo))
-                        size += hi - lo
-                        if size >= BLOCK:
-                            yield flush()
-                            snippets, owners, size = [], [], 0
+                for first, last in open_runs(len(raw), marks or []):
+                    snippets.append(raw[first : last + LENGTH])
+                    owners.append((key, first))
+                    size += last + LENGTH - first
+                    if size >= BLOCK:
+                        yield flush()
+                        snippets, owners, size = [], [], 0
         if snippets:
             yield flush()
 
-    keys = cut(marked.where("marks IS NOT NULL").mapInArrow(sort, "doc_id long, at long, key long").distinct(), "classes")
+    keys = cut(marked.where("marks IS NOT NULL").mapInArrow(sort, "doc_id long, at long, key long"), "classes")
     roots = keys.groupBy("key").agg(F.min("doc_id").alias("root"), F.max("doc_id").alias("last")).where("root < last").drop("last")
     hit = keys.join(roots, "key").where("root < doc_id").groupBy("doc_id").agg(F.collect_set("at").alias("hits"))
 
@@ -212,4 +250,5 @@ def dedup(docs: DataFrame) -> DataFrame:
                     out.append(_result(key, raw, np.unique(np.concatenate([np.array(hits or [], np.int64), *starts]).astype(np.int64))))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if k == 4 else pa.int64()) for k, x in enumerate(zip(*out, strict=True))], names=[f.split()[0] for f in FINAL.split(", ")])
 
-    return done.unionByName(marked.join(hit, "doc_id", "left").select("doc_id", "text", "marks", "hits").mapInArrow(finish, FINAL))
+    marked = todo.select("doc_id", "text").join(marks.join(hit, "doc_id", "full"), "doc_id", "left")
+    return done.unionByName(marked.select("doc_id", "text", "marks", "hits").mapInArrow(finish, FINAL))
