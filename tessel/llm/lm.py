@@ -57,6 +57,11 @@ def before(toks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def end_bits(bits: int) -> int:
+    """Bits of the ranges of words that the second exchange sums over. These are fewer, as every range of contexts sends a row to each."""
+    return min(bits, max(6, bits - 3))
+
+
 def _sorted_counts(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, inverse = np.unique(values, return_inverse=True)
     return unique, np.bincount(inverse, counts, len(unique)).astype(np.int64)
@@ -67,10 +72,11 @@ class Model:
 
     def __init__(self, folder: str, bits: int, stats: dict) -> None:
         self.bits, self.stats = bits, stats
-        self.parts = []
+        self.parts, less = [], bits - end_bits(bits)
+        ends = [[map_file(f"{folder}/{name}-{b}", "<u4") for name in ("cont", "contn")] for b in range(1 << end_bits(bits))]
         for b in range(1 << bits):
             read = lambda name, kind, b=b: map_file(f"{folder}/{name}-{b}", kind)
-            self.parts.append((read("uni", "<u8"), read("unic", "<u4"), read("cont", "<u4"), read("contn", "<u4"), read("ctx", "<u4"), read("ctxn", "<u4"), read("bi", "<u8"), read("bic", "u1"), read("big", "<u4")))
+            self.parts.append((read("uni", "<u8"), read("unic", "<u4"), *ends[b >> less], read("ctx", "<u4"), read("ctxn", "<u4"), read("bi", "<u8"), read("bic", "u1"), read("big", "<u4")))
 
     def _each(self, keys: np.ndarray):
         """The parts of the model with the sorted keys that they hold."""
@@ -143,7 +149,8 @@ def train(docs: DataFrame, bits: int | None = None) -> tuple[str, int, dict]:
     """Counts the model from the rows; gives its folder, the bits of its ranges, and its numbers."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(6, (2 * parts - 1).bit_length()) if bits is None else bits
+    bits = max(6, (parts - 1).bit_length() - 1) if bits is None else bits
+    ends = end_bits(bits)
     folder, ranges, shift = new_folder(spark, "lm"), 1 << bits, np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,11 +214,11 @@ def train(docs: DataFrame, bits: int | None = None) -> tuple[str, int, dict]:
         put_file(f"{folder}/bic-{b}", np.minimum(n, 255).astype("u1").tobytes())
         put_file(f"{folder}/big-{b}", np.stack([large, n[large]], axis=1).astype("<u4").tobytes())
         seconds, m = np.unique((bi & _LOW).astype(np.uint32), return_counts=True)
-        to = seconds >> np.uint32(32 - bits)
-        edges = np.searchsorted(to, np.arange(ranges + 1))
+        to = seconds >> np.uint32(32 - ends)
+        edges = np.searchsorted(to, np.arange((1 << ends) + 1))
         numbers = np.array([c.sum(), len(uni), *((n == k).sum() for k in (1, 2, 3, 4))], "<i8").tobytes()
         rows = [(-1, numbers)]
-        rows += [(k, np.array([hi - lo], "<u4").tobytes() + seconds[lo:hi].tobytes() + m[lo:hi].astype("<u4").tobytes()) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo]
+        rows += [(k, np.array([hi - lo], "<u4").tobytes() + seconds[lo:hi].tobytes() + m[lo:hi].astype("<u4").tobytes()) for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if hi > lo or k == b >> (bits - ends)]
         return pd.DataFrame(rows, columns=["part", "data"])
 
     def follow(group: pd.DataFrame) -> pd.DataFrame:
@@ -225,6 +232,8 @@ def train(docs: DataFrame, bits: int | None = None) -> tuple[str, int, dict]:
         return pd.DataFrame({"kind": 1, "v": [[int(n.sum()), *(int((n == k).sum()) for k in (1, 2, 3, 4)), len(n)]]})
 
     sent = docs.select("doc_id", "text").mapInArrow(count, "part int, data binary")
+    # Ranges without words get their empty files too.
+    sent = sent.unionByName(spark.range(0, ranges, 1, 1).select(F.col("id").cast("int").alias("part"), F.lit(bytes(12)).alias("data")))
     merged = sent.groupBy("part").applyInPandas(merge, "part int, data binary")
     rows = merged.groupBy("part").applyInPandas(follow, "kind int, v array<long>").groupBy("kind").agg(*(F.sum(F.col("v")[k]) for k in range(6))).collect()  # two rows
     found = {r[0]: [int(x) for x in r[1:]] for r in rows}

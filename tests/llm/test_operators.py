@@ -235,3 +235,12 @@ def test_pipeline(spark, docs):
         assert got.columns == docs.columns, name
     assert got.where(F.col("text").contains("never")).count() == 0
     assert "sequence_id" in corpus_pipeline.STAGES[-1][1](spark, got, "/root/testdata/sf0.001").columns
+
+
+def test_lm_scoring_without_training_rows(spark):
+    """Fewer words than ranges, and no training document at all."""
+    held = [(k, "x y") for k in range(60) if lm.held_out(k)]
+    for rows, known in (([(1, "a b"), (2, "a b"), (3, None)], 3), (held, 0)):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = lm.score(docs, *lm.train(docs)).collect()
+        assert len(got) == len(rows) and max(r["n_known"] for r in got) == known
