@@ -11,7 +11,8 @@ A token is a distinct five-word shingle, by a hash of 40 bits and those of its r
    bands and share a signature.
 4. Verification in rounds. In every bucket of a signature the next pivots are compared with the later members that are not yet in their
    component; links join components, and the rounds, with ever more pivots, go on until no bucket holds two components that were not compared.
-   No bucket is capped, and none is expanded into all pairs: members of one component need no further comparison.
+   No bucket is capped, and none is expanded into all pairs: members of one component need no further comparison. From the second round on, a pair's
+   sets are fetched only if their maps of BITS parity bits, which bound what two sets share from above, leave a link possible.
 
 Defined cases: null, empty or blank texts have an empty set and are alone; texts of fewer than five words are one shingle of all words; a null
 doc_id takes no part (its component is null); rows that share a doc_id are one node; repeated rows give a row each.
@@ -34,6 +35,9 @@ from .common import cut, mix, text_slices, word_hashes
 N, PERCENT = 5, 80
 #: Tokens of a chunk, tokens' frequency up to which they are indexed alone, and sizes' share of a band.
 CHUNK, RARE, BAND = 1_000_000, 8, math.log(100 / PERCENT)
+#: Bits of a set's parity map, in 64-bit words of MAP columns.
+BITS = 512
+MAP = [f"m{k}" for k in range(BITS // 64)]
 _FACTOR = np.uint64(0xC6A4A7935BD1E995)
 
 
@@ -203,6 +207,22 @@ def signatures(sets: DataFrame) -> DataFrame:
     return sets.select("doc_id", "n", "tokens", "dfs").mapInArrow(run, "sig long, doc_id long, n long")
 
 
+def parity_maps(sets: DataFrame) -> DataFrame:
+    """doc_id, shared (number of tokens) and the parity of the number of tokens that hash to each of BITS bits; sets differ in no fewer tokens than maps in bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                tokens = b.column(1)[lo : lo + 200]
+                sizes = np.diff(tokens.offsets.to_numpy())
+                bit = (mix(tokens.flatten().to_numpy(zero_copy_only=False).astype(np.uint64) ^ np.uint64(0x1234567)) % np.uint64(BITS)).astype(np.int64)
+                odd = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * BITS + bit, minlength=len(sizes) * BITS) & 1
+                words = np.packbits(odd.astype(np.uint8)).view("<i8").reshape(len(sizes), len(MAP))
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo : lo + 200], pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(w), pa.int64()) for w in words.T)], ["doc_id", "shared", *MAP])
+
+    return sets.select("doc_id", "tokens").mapInArrow(run, "doc_id long, shared long, " + ", ".join(f"{m} long" for m in MAP))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the edges (a, b); root is the smallest node of its component. Alternates large and small stars."""
 
@@ -253,8 +273,13 @@ def join_classes(docs: DataFrame) -> DataFrame:
     done, step, first = 0, 1, True
     while True:
         last = done + step
-        pivots = sig.where((F.col("rank") > done) & (F.col("rank") <= last)).select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"))
+        maps = [] if first else ["shared", *MAP]
+        pivots = sig.where((F.col("rank") > done) & (F.col("rank") <= last)).select("sig", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("rank").alias("rb"), *(F.col(m).alias(f"b_{m}") for m in maps))
         fits = (F.col("rank") > F.col("rb")) & (F.col("comp") != F.col("cb")) & (100 * F.least("n", "nb") >= PERCENT * F.greatest("n", "nb"))
+        if maps:
+            apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b_{m}"))) for m in MAP), F.lit(0))
+            most = F.col("shared") + F.col("b_shared") - apart  # twice what both hold, at most
+            fits &= (100 + PERCENT) * most >= 2 * PERCENT * (F.col("n") + F.col("nb"))
         pairs = sig.join(pivots, "sig").where(fits)
         if first:  # one comparison for each member, with the smallest of its buckets' pivots, joins most of a group of copies
             pairs = pairs.groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
@@ -264,15 +289,13 @@ def join_classes(docs: DataFrame) -> DataFrame:
         if first or not found.isEmpty():  # else the components are as they were
             links = cut(links.unionByName(found), "links")
             roots = components(links)
-            sig = sig.join(roots, sig["doc_id"] == roots["node"], "left").select("sig", "doc_id", "n", "rank", F.coalesce("root", "doc_id").alias("comp"))
-        if first:
-            first, last = False, 0
-        else:
-            step *= 16
-        done = last
+            sig = sig.join(roots, sig["doc_id"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "doc_id")).drop("node", "root")
+        done = 0 if first else last
         left = sig.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("rank").alias("members")).where((F.col("lo") != F.col("hi")) & (F.col("members") > done + 1))
-        sig = cut(sig.join(left.select("sig"), "sig", "left_semi"), "signatures")
+        sig = sig.join(left.select("sig"), "sig", "left_semi")
+        sig = cut(sig.join(parity_maps(reps), "doc_id") if first else sig, "signatures")
         if sig.isEmpty():
             break
+        step, first = (step, False) if first else (step * 16, False)
     out = every.select("doc_id", F.col("n").alias("n_shingles"))
     return out.join(roots, out["doc_id"] == roots["node"], "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))

@@ -69,6 +69,20 @@ def test_join_of_many_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_join_of_near_copies_around_the_threshold(spark):
+    """Most pairs of the group don't link and few do in late rounds: the bound by parity maps must lose none."""
+    rng = np.random.default_rng(7)
+    base, rows = [f"w{k}" for k in range(90)], []
+    for k in range(160):
+        own = list(base)
+        for at in rng.integers(0, 90, rng.integers(1, 4)):
+            own[at] = f"y{rng.integers(0, 6)}"
+        rows.append((k, " ".join(own), "", "", 0, 0, 0, 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.join_classes(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n long, sig long, part int")).collect()}
+    want = brute_components(rows)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 155
+
+
 def test_packing(docs, corpus):
     from tokenizers import Tokenizer
 
