@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from .common import cut
 
 H_SHARE, STEPS, MIN_GROUP = 0.75, 2, 40
-#: Squared distance beyond which a row is rejected (chi-square with 4 degrees: about 1e-9), and each statistic's least standard deviation.
-CUTOFF, FLOORS = 48.0, (0.5, 0.15, 0.35, 0.35)
+#: Squared distance beyond which a row is rejected: the 0.999 quantile of chi-square with 4 degrees.
+CUTOFF = 18.467
+#: Standard deviations that stand in where a statistic hardly varies (as most texts have no symbols and no repeats, the covariance is then
+#: degenerate): 0.18 is one symbol in MIN_WORDS words. Real variances above them stay as they are.
+FLOORS = (0.1, 0.05, 0.18, 0.35)
 #: Consistency factor of the MCD covariance at H_SHARE 0.75 in 4 dimensions.
 CONSISTENCY = 1.486
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -87,7 +90,7 @@ def estimate(rows: DataFrame) -> DataFrame:
         for j in range(i + 1):
             v = F.col(f"__q_v{i}{j}") * CONSISTENCY
             if i == j:
-                v = F.greatest(v, F.lit(0.0)) + FLOORS[i] ** 2
+                v = F.greatest(v, F.lit(FLOORS[i] ** 2))
             for k in range(j):
                 v = v - F.col(f"__q_c{i}{k}") * F.col(f"__q_c{j}{k}")
             g = g.withColumn(f"__q_c{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"__q_c{j}{j}"))

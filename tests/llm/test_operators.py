@@ -176,6 +176,21 @@ def test_quality_counts_and_verdicts(spark, docs, corpus):
     assert all(verdict[k] for k in range(200)) and not any(verdict[1000 + k] for k in range(8))
 
 
+def varied(rng, n):
+    return [" ".join("abcdefgh"[: rng.integers(3, 8)] + str(rng.integers(0, 10**6)) for _ in range(rng.integers(60, 200))) for _ in range(n)]
+
+
+def test_quality_rejects_texts_with_half_a_symbol_a_word(spark):
+    rng = np.random.default_rng(3)
+    good, bad = varied(rng, 200), [" | ".join(" ".join(t.split()[k : k + 2]) for k in range(0, 120, 2)) for t in varied(rng, 300) if len(t.split()) >= 120][:12]
+    few = [" & ".join([t[:40], t[40:]]) for t in varied(rng, 8)]
+    made = spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(good + bad + few)], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in quality.quality_rules(made).collect()}
+    assert all(0.3 < rows[k]["__q_s"] / rows[k]["__q_n"] < 0.55 and not rows[k]["__q_failed"] for k in range(200, 212))
+    assert not any(rows[k]["__q_kept"] for k in range(200, 212))
+    assert all(rows[k]["__q_kept"] for k in [*range(200), *range(212, 220)])
+
+
 def test_decontamination(spark, docs):
     text = " ".join(f"item{k}" for k in range(30))
     items = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "tiny item"), (5, " ".join(f"other{k}" for k in range(20)))], "item_id long, text string")
