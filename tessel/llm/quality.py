@@ -6,8 +6,8 @@ covariance from those. All of it is DataFrame expressions; quantiles come from b
 groups times bins, and a hot group is pre-aggregated in every task.
 
 Defined cases: a null or blank text has no words and fails the base rule; null languages or sources form groups of
-their own; a group with fewer than MIN_GROUP rows that pass the base rule gives no estimate and rejects nothing more;
-repeated rows are judged one by one; further columns of the input pass through.
+their own; rows of a group too small for an estimate of its own (fewer than MIN_GROUP x H_SHARE rows behind it) are judged by one over all
+rows of their language, and where that is too small too, by one over all rows, whatever their number; repeated rows are judged one by one; further columns of the input pass through.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ CUTOFF = 18.467
 FLOORS = (0.1, 0.05, 0.18, 0.35)
 #: Consistency factor of the MCD covariance at H_SHARE 0.75 in 4 dimensions.
 CONSISTENCY = 1.486
+#: Typical standard deviations, which count as PRIOR_ROWS rows in each covariance: for a handful of rows it is singular by itself.
+PRIOR, PRIOR_ROWS = (1.0, 0.15, 0.35, 0.35), 4
+#: Stands for all values of a key in pooled estimates; own values begin with = or are empty.
+ANY = "*"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 P, BIN = 4, 1 / 64
 SPACE = r"[\x20\x09-\x0D]+"
@@ -74,7 +78,7 @@ Z = [f"__q_z{j}" for j in range(P)]
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """Upper ends of the bins that hold the quantiles of a value for each key."""
-    bins = rows.groupBy(*keys, F.floor(F.col(value) / BIN).alias("__q_bin")).agg(F.count(F.lit(1)).alias("__q_k"))
+    bins = cut(rows.groupBy(*keys, F.floor(F.col(value) / BIN).alias("__q_bin")).agg(F.count(F.lit(1)).alias("__q_k")), "bins")
     w = Window.partitionBy(*keys)
     bins = bins.withColumns({"__q_run": F.sum("__q_k").over(w.orderBy("__q_bin")), "__q_all": F.sum("__q_k").over(w)})
     return bins.groupBy(*keys).agg(*(F.min(F.when(F.col("__q_run") >= share * F.col("__q_all"), (F.col("__q_bin") + 1) * BIN)).alias(name) for name, share in shares.items()))
@@ -88,8 +92,9 @@ def estimate(rows: DataFrame) -> DataFrame:
     g = rows.groupBy(*GROUP).agg(*aggs)
     for i in range(P):
         for j in range(i + 1):
-            v = F.col(f"__q_v{i}{j}") * CONSISTENCY
+            v = F.col(f"__q_v{i}{j}") * CONSISTENCY * F.col("__q_m") / (F.col("__q_m") + PRIOR_ROWS)
             if i == j:
+                v = v + PRIOR_ROWS * PRIOR[i] ** 2 / (F.col("__q_m") + PRIOR_ROWS)
                 v = F.greatest(v, F.lit(FLOORS[i] ** 2))
             for k in range(j):
                 v = v - F.col(f"__q_c{i}{k}") * F.col(f"__q_c{j}{k}")
@@ -128,15 +133,31 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return est
 
 
+def group_estimates(groups: DataFrame, rows: DataFrame, steps: int, least: float) -> DataFrame:
+    """An estimate for each of the groups: its own, or where fewer than least rows are behind that, its language's, or the one over all rows."""
+    own = mcd(rows, steps).where(F.col("__q_m") >= least)
+    small = cut(groups.join(own, GROUP, "left_anti"), "mcd")
+    if small.isEmpty():
+        return own
+    langs = small.select("__q_g0").distinct()
+    pooled = mcd(rows.join(langs, "__q_g0", "left_semi").withColumn("__q_g1", F.lit(ANY)), steps).where(F.col("__q_m") >= least).drop("__q_g1")
+    out = own.unionByName(small.join(pooled, "__q_g0"))
+    rest = cut(small.join(pooled, "__q_g0", "left_anti"), "mcd")
+    if rest.isEmpty():
+        return out
+    whole = mcd(rows.withColumns(dict.fromkeys(GROUP, F.lit(ANY))), steps).drop(*GROUP)
+    return out.unionByName(rest.crossJoin(F.broadcast(whole)))
+
+
 def quality_rules(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, keep: list[str] | None = None) -> DataFrame:
-    """The rows (all columns, or those in keep) with the counts of COUNTS, base_failed, outlier_distance (null without an estimate) and kept, all prefixed __q_."""
+    """The rows (all columns, or those in keep) with the counts of COUNTS, base_failed, outlier_distance (null if no row passes the base rule) and kept, all prefixed __q_."""
     d = with_counts(docs).withColumns(statistics())
     group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     d = d.withColumns({"__q_g0": group("lang"), "__q_g1": group("source")})
     d = d.withColumn("__q_failed", (F.col("__q_n") < MIN_WORDS) | (100 * F.col("__q_r") > MAX_REPEAT_PERCENT * F.col("__q_n")))
     kept = docs.columns if keep is None else keep
     d = cut(d.select(*kept, *GROUP, *Z, *COUNTS.values(), "__q_failed"), "quality")
-    est = mcd(d.where(~F.col("__q_failed")).select(*GROUP, *Z), steps).where(F.col("__q_m") >= math.ceil(min_group * H_SHARE))
+    est = group_estimates(d.select(*GROUP).distinct(), d.where(~F.col("__q_failed")).select(*GROUP, *Z), steps, math.ceil(min_group * H_SHARE))
     d = distance(d.join(est, GROUP, "left"), "__q_distance")
     d = d.withColumn("__q_kept", ~F.col("__q_failed") & F.coalesce(F.col("__q_distance") <= cutoff, F.lit(True)))
     return d.select(*kept, *COUNTS.values(), "__q_failed", "__q_distance", "__q_kept")

@@ -191,6 +191,19 @@ def test_quality_rejects_texts_with_half_a_symbol_a_word(spark):
     assert all(rows[k]["__q_kept"] for k in [*range(200), *range(212, 220)])
 
 
+def test_quality_judges_small_groups_by_their_language_or_all_rows(spark):
+    rng = np.random.default_rng(4)
+    good, junk = varied(rng, 110), " ".join(f"w{k}{'###' * (k % 2)}" for k in range(90))
+    place = [("en", f"s{k}") for k in range(80)] + [("fr", f"s{k}") for k in range(20)] + [(None, None)] * 10
+    made = [(k, t, *p) for k, (t, p) in enumerate(zip(good, place, strict=True))] + [(1000, junk, "en", "s3"), (1001, junk, "en", "own"), (1002, junk, "fr", "s1"), (1003, junk, "xx", None), (1004, junk, None, None)]
+    schema = "doc_id long, text string, lang string, source string"
+    rows = quality.quality_rules(spark.createDataFrame(made, schema)).collect()
+    assert len(rows) == len(made) and all(r["__q_distance"] is not None for r in rows)
+    assert {r.doc_id for r in rows if not r["__q_kept"]} == {1000, 1001, 1002, 1003, 1004}
+    few = quality.quality_rules(spark.createDataFrame(made[:5] + made[-5:-4], schema)).collect()
+    assert {r.doc_id for r in few if not r["__q_kept"]} == {1000}
+
+
 def test_decontamination(spark, docs):
     text = " ".join(f"item{k}" for k in range(30))
     items = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "tiny item"), (5, " ".join(f"other{k}" for k in range(20)))], "item_id long, text string")
