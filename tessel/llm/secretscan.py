@@ -1,8 +1,8 @@
 """Secret scans: candidate strings, then a random forest that removes false positives.
 
-Candidates are runs of at least MIN_LENGTH characters of base64 and identifiers that hold a digit, and values assigned to words such as
-password. The forest sees a candidate's length, its character transitions, its dictionary coverage, its path and the words
-beside it. It is trained on the driver from labelled findings, at most MAX_FINDINGS of them (taken in the order of a hash of their values); the trees
+Candidates are runs of at least MIN_LENGTH characters of base64 and identifiers that hold a digit or an upper-case letter or begin with an
+issuer's prefix, values of at least five characters assigned to words such as password, and passwords in URLs (user:password@host).
+The forest sees a candidate's length, its character transitions, its dictionary coverage, its prefix, its path and the words beside it. It is trained on the driver from labelled findings, at most MAX_FINDINGS of them (taken in the order of a hash of their values); the trees
 are a few kilobytes. Scanning covers every text whole and shuffles nothing.
 
 Defined cases: null and empty texts have no candidates; repeated rows are scanned each; a null source is an empty path; candidates don't overlap;
@@ -27,12 +27,16 @@ from pyspark.sql import functions as F
 MIN_LENGTH, MAX_FINDINGS, THRESHOLD, REDACTED = 16, 20_000, 0.5, "[REDACTED]"
 TREES, DEPTH, LEAF = 25, 8, 4
 RUN = re.compile(rb"[A-Za-z0-9+/_\-]{16,}={0,2}")
-ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api_?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>]{8,})")
+ASSIGNED = re.compile(rb"(?i)(?:password|passwd|pwd|secret|token|api_?key)[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?([^\s\"'<>]{5,})")
+LOGIN = re.compile(rb"://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
+PREFIXES = (b"AKIA", b"ASIA", b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_", b"github_pat_", b"glpat-", b"sk_live_", b"rk_live_", b"xoxb-", b"xoxp-", b"xoxa-", b"AIza", b"npm_")
 #: Words beside a candidate that speak for a secret or for something else, and common parts of identifiers.
 FOR = ("password", "passwd", "pwd", "secret", "token", "key", "apikey", "api_key", "auth", "bearer", "credential", "access")
 AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "uuid", "id", "version", "rev", "hash", "digest", "image", "page", "order", "tel", "card", "isbn", "http", "https", "www", "ref", "etag", "build")
 PARTS = ("the", "and", "for", "with", "get", "set", "user", "name", "data", "file", "test", "page", "index", "item", "list", "main", "time", "date", "type", "value", "string", "number", "image", "example", "config", "class", "function", "return", "import", "version", "module", "message", "error", "server", "client", "table", "column", "order", "price", "total", "count", "width", "height")
-FEATURES = 15
+FEATURES = 16
+#: What stands after "password:" and the like without being one.
+PLAIN = ("required", "string", "hidden", "optional", "expired", "invalid", "changed", "forgotten", "missing", "never", "please", "minimum", "letters", "secure", "none,", "null,", "example", "password", "secret", "changeme", "[REDACTED]", "${PASSWORD}", "********")
 
 
 def _kind(c: int) -> int:
@@ -58,9 +62,23 @@ def features(value: bytes, path: str, before: bytes, after: bytes) -> list[float
         n, moves, digit_moves, entropy, share[0] / n, (share[0] + share[1]) / n, share[3] / n, (share[1] + share[2]) / n, value.count(b"-") + value.count(b"/"), covered,
         sum(w in FOR or any(w.endswith(f) for f in FOR[:6]) for w in near), sum(w in AGAINST for w in near),
         float(last in FOR) + float(before.rstrip(b" \t\"'")[-1:] in (b"=", b":")), float("test" in place or "doc" in place or "example" in place), float(after[:1] in (b'"', b"'")),
+        float(value.startswith(PREFIXES)),
     ]
 
 
+def _password(r: random.Random, n: int) -> str:
+    """Letters with a digit at least, as people choose and as generators make them."""
+    chars = r.choice(["abcdefghijkmnopqrstuvwxyz", "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abcdefghijkmnopqrstuvwxyz0123456789!$%_-"])
+    out = [r.choice(chars) for _ in range(n)]
+    for k in r.sample(range(n), r.randint(1, max(1, n // 3))):
+        out[k] = r.choice("0123456789")
+    return "".join(out)
+
+
+def _login(r: random.Random, word) -> str:
+    return f"{r.choice(['postgres', 'mysql', 'mongodb', 'redis', 'amqp', 'https', 'http', 'ftp'])}://{r.choice(['admin', 'root', 'user', 'app', word()])}:"
+
+
 def labelled_findings(n: int = 3000, seed: int = 20240229) -> list[tuple[bytes, str, bytes, bytes, int]]:
     """(value, path, text before, text after, 1 for a secret): findings in the formats that issuers publish, and look-alikes."""
     r = random.Random(seed)
@@ -72,26 +90,31 @@ def labelled_findings(n: int = 3000, seed: int = 20240229) -> list[tuple[bytes,
     for _ in range(n):
         talk = " ".join(word() for _ in range(4)) + " "
         if r.random() < 0.5:
-            kind = r.randrange(7)
+            kind, tail = r.randrange(10), None
             name = r.choice(["password", "token", "secret", "api_key", "access_token", "auth_token", "key"])
             join = r.choice(["=", " = \"", ": ", "=\"", " = '"])
             value, lead = [
                 ("AKIA" + pick(upper, 16), talk), (pick(hexa, r.randint(16, 24)), talk + name + join), (pick(hexa, 40), talk + name + join), (pick(b64, r.randint(20, 44)), talk + name + join),
                 ("ghp_" + pick(b64, 36), talk), ("sk_live_" + pick(b64, 24), talk), (pick(b64 + "+/", 40), talk + "aws_secret_access_key" + join),
+                (r.choice(["AKIA" + pick(upper[:26], 16), "sk_live_" + pick(b64[:52], 24), "ghp_" + pick(b64[:52], 36)]), talk),
+                (_password(r, r.randint(5, 14)), talk + r.choice(["password", "passwd", "pwd", "secret", "token"]) + join), (_password(r, r.randint(4, 20)), talk + _login(r, word)),
             ][kind]
-            label = 1
+            label, tail = 1, f"@{word()}.example.com/{word()} " if kind == 9 else None
         else:
-            kind = r.randrange(9)
+            kind, tail = r.randrange(14), None
             value, lead = [
                 (pick(dig, r.choice([16, 18, 20])), talk + r.choice(["", "card ", "order ", "tel "])), (f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", talk + r.choice(["uuid ", "id ", ""])),
                 (pick(hexa, 40), talk + r.choice(["commit ", "sha1 ", "rev "])), (pick(hexa, r.choice([32, 64])), talk + r.choice(["md5 ", "checksum ", "sha256: ", "digest "])),
                 ("-".join(r.choice(PARTS) for _ in range(4)) + "-" + pick(dig, 3), talk), ("/".join(word() for _ in range(4)) + "/" + pick(dig, 5), talk + "https://www.example.com/"),
                 (f"20{pick('012', 1)}{pick(dig, 1)}-0{r.randint(1, 9)}-1{pick(dig, 1)}T1{pick(dig, 1)}-{pick('012345', 1)}{pick(dig, 1)}-00", talk + r.choice(["date ", ""])), ("_".join(r.choice(PARTS) for _ in range(3)) + pick(dig, 2), talk),
                 (word() + word() + word() + pick(dig, r.randint(1, 4)), talk),
+                ("".join(word() for _ in range(4)).capitalize(), talk), ("".join(r.choice(PARTS).capitalize() for _ in range(r.randint(3, 6))), talk),
+                (r.choice(["_", ""]).join(r.choice([r.choice(PARTS), word()]) for _ in range(4)).upper(), talk),
+                (r.choice([r.choice(PLAIN), word() + r.choice(["", ",", "."])]), talk + r.choice(["password", "passwd", "pwd", "secret", "token"]) + r.choice([": ", ":", "="])), (r.choice(["password", "pass", "secret", "changeme", "${PASSWORD}", "****"]), talk + _login(r, word)),
             ][kind]
-            label = 0
-        if len(value) >= 8:
-            out.append((value.encode(), path(), lead.encode(), (r.choice(['"', "'", " ", "\n"]) if label else " ").encode() + talk.encode(), label))
+            label, tail = 0, f"@{word()}.example.com/{word()} " if kind == 13 else None
+        if len(value) >= (8 if lead == talk else 4):
+            out.append((value.encode(), path(), lead.encode(), (tail or (r.choice(['"', "'", " ", "\n"]) if label else " ")).encode() + talk.encode(), label))
     return out
 
 
@@ -150,13 +173,15 @@ def default_forest() -> Forest:
 
 
 def candidates(text: bytes) -> list[tuple[int, int]]:
-    """Byte spans, in order and without overlap; an assigned value wins over a run inside it."""
-    out = [m.span(1) for m in ASSIGNED.finditer(text)]
+    """Byte spans, in order and without overlap; a password in a URL wins over an assigned value around it, and that over a run inside it."""
+    out = [m.span(1) for m in LOGIN.finditer(text)]
+    inner = list(out)
+    out += [(lo, hi) for lo, hi in (m.span(1) for m in ASSIGNED.finditer(text)) if not any(a < hi and lo < b for a, b in inner)]
     taken = sorted(out)
     for m in RUN.finditer(text):
         lo, hi = m.span()
         value = m.group()
-        if not value.isalpha() and any(48 <= c <= 57 for c in value) and not any(a < hi and lo < b for a, b in taken):
+        if (any(48 <= c <= 57 or 65 <= c <= 90 for c in value) or value.startswith(PREFIXES)) and not any(a < hi and lo < b for a, b in taken):
             out.append((lo, hi))
     return sorted(out)
 
