@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessel.llm import decontam, ngramjoin, packing, quality, secretscan
-from tessel.llm.common import new_folder, table
+from tessel.llm.common import cut, new_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,16 +14,26 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs).where("__q_kept").select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own in __row, as ids may be null or repeated; written, so that all plans see the same numbers."""
+    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies; rows that share an id count as one document."""
-    out = ngramjoin.join_classes(docs.select("doc_id", "text"))
-    gone = out.where("component_id < doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__d"], "left_anti")
+    """One row of each group of near copies: that with the smallest id, null last, and of rows that share it one."""
+    rows = numbered(docs)
+    classes = ngramjoin.join_classes(rows.select(F.col("__row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__row"), "component_id")
+    members = cut(classes.where("component_id IS NOT NULL").join(rows.select("__row", "doc_id"), "__row"), "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "__row")).alias("f")).select("f.__row")
+    gone = members.select("__row").join(first, "__row", "left_anti")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    """Rows that hold no benchmark item."""
+    rows = numbered(docs).withColumnsRenamed({"doc_id": "__id", "__row": "doc_id"})
+    out = decontam.decontaminate(rows, table(spark, sf_dir, "benchmark"))
+    return out.drop("doc_id").withColumnRenamed("__id", "doc_id").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

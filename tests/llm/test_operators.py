@@ -296,6 +296,20 @@ def test_pipeline(spark, docs):
     assert "sequence_id" in corpus_pipeline.STAGES[-1][1](spark, got, "/root/testdata/sf0.001").columns
 
 
+def test_pipeline_stages_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    sf, schema = "/root/testdata/sf0.001", "doc_id long, text string, lang string"
+    a, b, c, d = varied(np.random.default_rng(5), 4)
+    made = [(None, a, "x"), (None, a, "y"), (5, a, "z"), (3, a, "first"), (7, b, "x"), (7, b, "x"), (8, c, "c"), (8, d, "d"), (None, None, "n")]
+    got = corpus_pipeline.near_duplicates_stage(spark, spark.createDataFrame(made, schema), sf).collect()
+    assert Counter(map(tuple, got)) == Counter([(3, a, "first"), (7, b, "x"), (8, c, "c"), (8, d, "d"), (None, None, "n")])
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=len)
+    made = [(None, f"{a} {item}", "x"), (None, a, "x"), (9, f"{b} {item}", "x"), (9, c, "x")]
+    got = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(made, schema), sf).collect()
+    assert Counter(map(tuple, got)) == Counter([made[1], made[3]])
+
+
 def test_lm_scoring_without_training_rows(spark):
     """Fewer words than ranges, and no training document at all."""
     held = [(k, "x y") for k in range(60) if lm.held_out(k)]
