@@ -30,12 +30,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to the shared folder and read them back, which cuts the lineage."""
+def cut(df: DataFrame, name: str, with_path: bool = False):
+    """Write the rows to the shared folder and read them back, which cuts the lineage; with the folder, for discard(), if asked."""
     spark, path = df.sparkSession, new_folder(df.sparkSession, name)
     df.write.parquet(path, compression="zstd")
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return (out, path) if with_path else out
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def range_bits(docs: DataFrame, sent: float, size: int = 32 << 20) -> int:
+    """Bits of the hash ranges over which tasks exchange about sent bytes for each byte of text: ranges hold about size bytes, and are no fewer than 64."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # one number
+    return max(6, (int(total * sent) // size).bit_length())
 
 
 def release(spark: SparkSession) -> None:

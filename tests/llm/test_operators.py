@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.llm import chat, decontam, licenses, lm, ngramjoin, packing, quality, sadedup, secretscan, urlfilter
-from tessel.llm.gsaca import suffix_array
+from tessel.llm.gsaca import suffix_array, suffix_arrays
 
 WORD = rb"[^\x20\x09-\x0D]+"
 
@@ -25,6 +25,11 @@ def test_suffix_array():
     for _ in range(800):
         s = rng.integers(0, rng.integers(1, 5), rng.integers(0, 25)).tolist()
         assert suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
+    blocks = [[*rng.integers(1, rng.integers(2, 6), rng.integers(0, 60)).tolist(), 0] for _ in range(300)]
+    got, at = suffix_arrays(np.concatenate(blocks), np.repeat(np.arange(300), [len(b) for b in blocks])), 0
+    for b in blocks:
+        assert (got[at : at + len(b)] - at).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+        at += len(b)
 
 
 def brute_components(corpus):
@@ -142,7 +147,7 @@ def test_model(docs, corpus):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
 
 
-def test_suffix_dedup(docs, corpus):
+def brute_dedup(corpus):
     seen, want = {}, Counter()
     for i, t, *_ in sorted((c for c in corpus if c[0] is not None), key=lambda c: c[0]):
         for k in range(len((t or "").encode()) - 49):
@@ -154,7 +159,26 @@ def test_suffix_dedup(docs, corpus):
             if i is not None and seen[raw[k : k + 50]] < i:
                 gone[k : k + 50] = b"\1" * 50
         want[i, len(raw), sum(gone), sum(1 for k in range(len(raw)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(bytes(x for x, g in zip(raw, gone, strict=True) if not g)).hexdigest()] += 1
-    assert Counter(tuple(r) for r in sadedup.dedup(docs).collect()) == want
+    return want
+
+
+def test_suffix_dedup(docs, corpus):
+    assert Counter(tuple(r) for r in sadedup.dedup(docs).collect()) == brute_dedup(corpus)
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 150, "hot": 3}])
+def test_suffix_dedup_of_texts_that_share_ids_and_phrases(spark, limits):
+    """Distinct texts under one id, runs of one letter, cuts at every distance around the length, and a phrase in all texts."""
+    rng = np.random.default_rng(11)
+    draw = lambda n, k: "".join("abcdefghé\n"[x] for x in rng.integers(0, k, n))
+    base, phrase = draw(900, 10), draw(70, 9)
+    rows = [(5, base[:300], 1), (5, base[200:600], 1), (3, base[250:400], 1), (9, base, 1), (9, base, 2), (None, base, 1), (2, "a" * 400, 1), (4, "b" + "a" * 80, 1), (1, "a" * 49, 1), (7, draw(300, 2), 1), (6, draw(300, 2), 1)]
+    for k in range(60):
+        at = int(rng.integers(0, 800))
+        own = base[at : at + int(rng.integers(40, 120))]
+        rows.append((int(rng.integers(0, 40)), draw(int(rng.integers(0, 60)), 10) + own + draw(30, 10) + phrase[: int(rng.integers(45, 71))] + draw(40, 10), 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(5)
+    assert Counter(tuple(r) for r in sadedup.dedup(docs, **limits).collect()) == brute_dedup(rows)
 
 
 def test_quality_counts_and_verdicts(spark, docs, corpus):
