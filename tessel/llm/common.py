@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,7 @@ def range_bits(docs: DataFrame, sent: float, size: int = 32 << 20) -> int:
 
 def release(spark: SparkSession) -> None:
     """Has the driver collect garbage, upon which Spark removes the files of shuffles that no plan holds any more; by itself it waits for a full heap or half an hour."""
+    gc.collect()  # plans that Python objects still name are held
     spark.sparkContext._jvm.System.gc()
 
 

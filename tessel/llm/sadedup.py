@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, discard, mix, range_bits
+from .common import cut, discard, mix, range_bits, release
 from .gsaca import suffix_arrays
 
 LENGTH, GRAM = 50, 25
@@ -44,6 +44,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 FINAL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 PIECES = "pieces array<struct<at: int, core: int, data: binary>>"
+PLAIN = "bucket int, chunk long, data binary"
 SENT = f"bucket int, chunk long, data binary, {FINAL}"
 OPEN = f"{FINAL}, chunk long, row int, text binary, gone array<int>, {PIECES}"
 
@@ -179,7 +180,7 @@ def _send_minimizers(bits: int):
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(values)], strict=True) if len(cuts) else ():
                 v = values[lo:hi]
                 rows.append((int(bucket[order[lo]]), chunk, _join((v & _LOW).astype("<u4"), (v >> np.uint64(32)).astype("u1"), np.packbits(times[lo:hi]))))
-            return _table("bucket int, chunk long, data binary", rows).to_batches()[0]
+            return _table(PLAIN, rows).to_batches()[0]
 
         for b in batches:
             for lo in range(0, b.num_rows, 256):
@@ -212,7 +213,7 @@ def _again(group: pa.Table) -> pa.Table:
         at += len(v)
         if own.any():
             rows.append((bucket, chunk, _join(lo[own], hi[own])))
-    return _table("bucket int, chunk long, data binary", rows)
+    return _table(PLAIN, rows)
 
 
 def _entries(buf: np.ndarray, edges: np.ndarray, null: np.ndarray, docs: np.ndarray, shared: np.ndarray, keep: np.uint64) -> dict[str, np.ndarray]:
@@ -319,7 +320,7 @@ def _judge(group: pa.Table) -> pa.Table:
         own = own[settled[own] | (state[own] > 0)]
         if len(own):
             rows.append((bucket, chunk, _join(at[own], back0[own], back1[own], state[own])))
-    return _table("bucket int, chunk long, data binary", rows)
+    return _table(PLAIN, rows)
 
 
 def _gather(group: pa.Table) -> pa.Table:
@@ -338,24 +339,22 @@ def _gather(group: pa.Table) -> pa.Table:
     n, gone = len(buf), state == 0
     going = _covered(n, first[gone], last[gone] + LENGTH)
     row = np.searchsorted(edges, at, side="right") - 1
-    spans: list[list[int]] = [[] for _ in docs]
     pieces: list[list[tuple]] = [[] for _ in docs]
-    open_rows = np.zeros(len(docs), bool)
-    open_rows[row[~gone]] = True
-    for k in np.flatnonzero(gone & open_rows[row]).tolist():
-        r = row[k]
-        spans[r] += (int(first[k] - edges[r]), int(last[k] - edges[r]))
+    offsets = edges.tolist()
+    # First and last starts of the runs of strings that go; no run crosses documents, as a text's last 49 bytes start none.
+    runs = np.flatnonzero(np.diff(_covered(n, first[gone], last[gone] + 1).astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    border = np.searchsorted(runs[:, 0], edges)
     raw = buf.tobytes()
-    for k in np.flatnonzero(~gone).tolist():
-        r, p = int(row[k]), int(at[k])
-        for j, (lo, hi) in enumerate(RANGES):
-            a, b = max(int(first[k]), p - hi), min(int(last[k]), p - lo)
-            if state[k] >> j & 1 and a <= b:
-                pieces[r].append({"at": a - int(edges[r]), "core": p - lo - a, "data": raw[a : b + LENGTH]})
+    for j, (lo, hi) in enumerate(RANGES):
+        k = np.flatnonzero(state >> j & 1)
+        a, b = np.maximum(first[k], at[k] - hi), np.minimum(last[k], at[k] - lo)
+        k, a, b = k[a <= b], a[a <= b], b[a <= b]
+        for r, x, core, end in zip(row[k].tolist(), a.tolist(), (at[k] - lo - a).tolist(), (b + LENGTH).tolist(), strict=True):
+            pieces[r].append({"at": x - offsets[r], "core": core, "data": raw[x:end]})
     rows = []
-    for r, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+    for r, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         if pieces[r]:
-            rows.append((int(docs[r]), hi - lo, None, None, None, chunk, r, raw[lo:hi], spans[r], pieces[r]))
+            rows.append((int(docs[r]), hi - lo, None, None, None, chunk, r, raw[lo:hi], (runs[border[r] : border[r + 1]] - [lo, lo + 1]).ravel().tolist(), pieces[r]))
         else:
             rows.append((*_result(int(docs[r]), buf[lo:hi], going[lo:hi]), chunk, r, None, None, None))
     return _table(OPEN, rows)
@@ -470,22 +469,35 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _table(FINAL, out).to_batches()[0]
 
 
+def _exchange_minimizers(docs: DataFrame, bits: int) -> tuple[DataFrame, str]:
+    """Results of documents that share no minimizer, chunks of the others, and their super strings by range."""
+    sent = docs.mapInArrow(_send_minimizers(bits), PLAIN)
+    again = sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("chunk"))).applyInArrow(lambda t: t if t.column("bucket")[0].as_py() < 0 else _again(t), PLAIN)
+    return cut(again.groupBy("chunk").applyInArrow(_send_supers(bits), SENT), "supers", True)
+
+
+def _exchange_supers(second: DataFrame, final: list[str]) -> DataFrame:
+    """Results of documents that have no open strings, and the others with their pieces."""
+    done = second.where("bucket IS NULL").select(*final)
+    judged = second.where("bucket >= 0").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(_judge, PLAIN)
+    heads = second.where("bucket = -1").select("bucket", "chunk", "data")
+    gathered = judged.unionByName(heads).groupBy("chunk").applyInArrow(_gather, OPEN)
+    return cut(gathered.unionByName(done, allowMissingColumns=True), "open")
+
+
 def dedup(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row; block and hot bound a suffix array's bytes and a core's pieces in one task."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = range_bits(docs, 0.5)
-    plain, final = "bucket int, chunk long, data binary", [f.split()[0] for f in FINAL.split(", ")]
+    final = [f.split()[0] for f in FINAL.split(", ")]
 
-    sent = docs.mapInArrow(_send_minimizers(bits), plain)
-    again = sent.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("chunk")).alias("own")).applyInArrow(lambda t: t.select(["bucket", "chunk", "data"]) if t.column("bucket")[0].as_py() < 0 else _again(t.select(["bucket", "chunk", "data"])), plain)
-    second, second_path = cut(again.groupBy("chunk").applyInArrow(_send_supers(bits), SENT), "supers", True)
-    done = second.where("bucket IS NULL").select(*final)
-    judged = second.where("bucket >= 0").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(_judge, plain)
-    heads = second.where("bucket = -1").select("bucket", "chunk", "data")
-    gathered = judged.unionByName(heads).groupBy("chunk").applyInArrow(_gather, OPEN)
-    state, _ = cut(gathered.unionByName(done, allowMissingColumns=True), "open", True)
+    second, second_path = _exchange_minimizers(docs, bits)
+    release(spark)
+    state = _exchange_supers(second, final)
+    del second
     discard(spark, second_path)
+    release(spark)
 
     todo = state.where("text IS NOT NULL")
     each = todo.select("chunk", "row", F.col("doc_id").alias("doc"), F.explode("pieces").alias("p"))
