@@ -38,7 +38,7 @@ LENGTH, GRAM = 50, 25
 RANGES = ((0, 12), (13, 25))
 CORE = LENGTH - 12
 #: Bytes of text in a chunk and in one pass over it, bytes of one suffix array, of those sorted together, and pieces of a core dealt to one task.
-CHUNK, PASS, BLOCK, BATCH, HOT = 12 << 20, 1 << 18, 4096, 1 << 19, 20_000
+CHUNK, PASS, BLOCK, BATCH, HOT = 12 << 20, 1 << 18, 4096, 1 << 19, 2_000
 _MASK = np.uint64((1 << 20) - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -123,7 +123,7 @@ def _split(data: bytes, *kinds: str) -> list:
 
 
 def _head(docs: np.ndarray, null: np.ndarray, edges: np.ndarray, buf: np.ndarray, *more: np.ndarray) -> bytes:
-    return _join(docs.astype("<i8"), null.astype("u1"), edges.astype("<i8"), pa.compress(np.ascontiguousarray(buf).tobytes(), "zstd", asbytes=True), *more)
+    return _join(docs.astype("<i8"), null.astype("u1"), edges.astype("<i8"), pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(buf).tobytes(), asbytes=True), *more)
 
 
 def _unhead(data: bytes, *kinds: str) -> list:
@@ -476,10 +476,14 @@ def _exchange_minimizers(docs: DataFrame, bits: int) -> tuple[DataFrame, str]:
     return cut(again.groupBy("chunk").applyInArrow(_send_supers(bits), SENT), "supers", True)
 
 
-def _exchange_supers(second: DataFrame, final: list[str]) -> DataFrame:
+def _judged(second: DataFrame) -> DataFrame:
+    """What is settled or open of each chunk's super strings."""
+    return cut(second.where("bucket >= 0").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(_judge, PLAIN), "judged")
+
+
+def _gathered(second: DataFrame, judged: DataFrame, final: list[str]) -> DataFrame:
     """Results of documents that have no open strings, and the others with their pieces."""
     done = second.where("bucket IS NULL").select(*final)
-    judged = second.where("bucket >= 0").select("bucket", "chunk", "data").groupBy("bucket").applyInArrow(_judge, PLAIN)
     heads = second.where("bucket = -1").select("bucket", "chunk", "data")
     gathered = judged.unionByName(heads).groupBy("chunk").applyInArrow(_gather, OPEN)
     return cut(gathered.unionByName(done, allowMissingColumns=True), "open")
@@ -494,7 +498,9 @@ def dedup(docs: DataFrame, block: int = BLOCK, hot: int = HOT) -> DataFrame:
 
     second, second_path = _exchange_minimizers(docs, bits)
     release(spark)
-    state = _exchange_supers(second, final)
+    judged = _judged(second)
+    release(spark)
+    state = _gathered(second, judged, final)
     del second
     discard(spark, second_path)
     release(spark)
