@@ -94,7 +94,8 @@ class Encoder:
                 at = end + 1
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [_LETTER_STOP.sub(rb" \1", t.lower()).split() for t in texts]
+        # A special token stands for itself in its own case only; where one may be, its piece keeps its letters.
+        split = [[w if b"<|" in w else w.lower() for w in t.split()] if b"<|" in t else _LETTER_STOP.sub(rb" \1", t.lower()).split() for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > MEMORY:  # the older half goes, but for what is used again
             self.older, self.known = self.known, {}
