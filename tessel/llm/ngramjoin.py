@@ -1,6 +1,6 @@
 """N-gram Jaccard join by token-combination prefixes: single rare tokens, pairs of frequent ones, then exact verification.
 
-A token is a distinct five-word shingle, by a hash of 40 bits and those of its range; ranges grow with the number of shuffle partitions. Steps:
+A token is a distinct five-word shingle, by a hash of 40 bits and those of its range; ranges are sized from the bytes of text. Steps:
 
 1. Counting. Chunks of documents send their tokens, packed by hash range, to the ranges' tasks, which return to each chunk those
    that other documents hold too, with document frequencies. A document of which fewer than 80 % are shared can link with nothing.
@@ -11,11 +11,13 @@ A token is a distinct five-word shingle, by a hash of 40 bits and those of its r
    bands and share a signature.
 4. Verification in rounds. In every bucket of a signature the next pivots are compared with the later members that are not yet in their
    component; links join components, and the rounds, with ever more pivots, go on until no bucket holds two components that were not compared.
-   No bucket is capped, and none is expanded into all pairs: members of one component need no further comparison. From the second round on, a pair's
-   sets are fetched only if their maps of BITS parity bits, which bound what two sets share from above, leave a link possible.
+   No bucket is capped. Members of one component need no further comparison; those that never link are compared with each other, by maps of BITS parity
+   bits, which bound what two sets share from above: from the second round on, a pair's sets are fetched only if the maps leave a link possible.
+   A bucket is dealt in parts as large as a range partition, and its pivots go to each part, so that none meets in one task.
 
 Defined cases: null, empty or blank texts have an empty set and are alone; texts of fewer than five words are one shingle of all words; a null
-doc_id takes no part (its component is null); rows that share a doc_id are one node; repeated rows give a row each.
+doc_id takes no part (its component is null); rows that share a doc_id are one node, which links wherever one of its texts does, with n_shingles
+of their own text; repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, text_slices, word_hashes
+from .common import cut, mix, range_bits, text_slices, word_hashes
 
 N, PERCENT = 5, 80
 #: Tokens of a chunk, tokens' frequency up to which they are indexed alone, and sizes' share of a band.
@@ -97,17 +99,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], sets_of: Callable = shingle_sets)
         yield keys, sets
 
 
-def token_bits(parts: int) -> int:
-    return max(6, (4 * parts - 1).bit_length())
-
-
 def shared_tokens(docs: DataFrame, sets_of: Callable = shingle_sets, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), tokens (those that other documents hold, by frequency and value; null if none or under percent of n) and frequencies.
 
     A token is the low 40 bits, and those of the ranges, of the 64-bit numbers that sets_of gives for a list of texts.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = token_bits(parts)
+    bits = range_bits(docs, 0.8)
     low = np.uint64((1 << bits) - 1)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,22 +250,31 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def ranked(sig: DataFrame) -> DataFrame:
+    """The signatures with each member's rank in its bucket, and the part of the bucket that it is in: a bucket as large as a range partition is dealt over several."""
+    parts = int(sig.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sig = cut(sig.repartitionByRange(parts, "sig", "doc_id").withColumn("part", F.spark_partition_id()), "signatures")
+    before = "coalesce(sum(k) OVER (PARTITION BY sig ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    spans = sig.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.expr(before)).drop("k")
+    own = sig.withColumn("own", F.expr("row_number() OVER (PARTITION BY sig, part ORDER BY doc_id)"))
+    return cut(own.join(spans, ["sig", "part"]).withColumn("rank", F.col("own") + F.col("before")).drop("own", "before"), "signatures")
+
+
 def join_classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs."""
-    every = cut(shared_tokens(docs), "sets")
-    key: list[Column] = [F.col("n"), F.xxhash64("tokens"), F.hash("tokens"), F.size("tokens")]
-    keyed = every.where("tokens IS NOT NULL AND size(tokens) > 0").select("doc_id", *(c.alias(f"k{i}") for i, c in enumerate(key)), (F.size("tokens") == F.col("n")).alias("whole"))
     names = ["k0", "k1", "k2", "k3"]
-    same = keyed.where("whole").groupBy(*names).agg(F.min("doc_id").alias("root"))
-    copies = cut(keyed.where("whole").join(same, names).select(F.col("doc_id").alias("a"), F.col("root").alias("b")).where("a <> b").distinct(), "copies")
-    reps = every.where("tokens IS NOT NULL").join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    reps = cut(reps, "reps")
+    key: list[Column] = [F.col("n"), F.xxhash64("tokens"), F.hash("tokens"), F.size("tokens")]
+    every = cut(shared_tokens(docs), "sets").withColumns(dict(zip(names, key, strict=True)))
+    keyed = every.where("tokens IS NOT NULL AND size(tokens) = n").select("doc_id", *names)
+    same = keyed.groupBy(*names).agg(F.min("doc_id").alias("root"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    # A doc_id may have several texts: only those that are copies leave, the others stay its own.
+    copied = cut(keyed.join(same, names).where("doc_id > root").distinct(), "copies")
+    copies = copied.select(F.col("doc_id").alias("a"), F.col("root").alias("b")).distinct()
+    reps = cut(every.where("tokens IS NOT NULL").join(copied.drop("root"), ["doc_id", *names], "left_anti").drop(*names), "reps")
 
     sig = signatures(reps)
     busy = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    sig = cut(sig.join(busy.select("sig"), "sig", "left_semi").withColumn("comp", F.col("doc_id")), "signatures")
-    rank = F.expr("row_number() OVER (PARTITION BY sig ORDER BY doc_id)")
-    sig = cut(sig.withColumn("rank", rank), "signatures")
+    sig = ranked(cut(sig.join(busy.select("sig"), "sig", "left_semi").withColumn("comp", F.col("doc_id")), "signatures"))
     links = copies
     done, step, first = 0, 1, True
     while True:
@@ -280,7 +286,8 @@ def join_classes(docs: DataFrame) -> DataFrame:
             apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"b_{m}"))) for m in MAP), F.lit(0))
             most = F.col("shared") + F.col("b_shared") - apart  # twice what both hold, at most
             fits &= (100 + PERCENT) * most >= 2 * PERCENT * (F.col("n") + F.col("nb"))
-        pairs = sig.join(pivots, "sig").where(fits)
+        pivots = pivots.join(sig.select("sig", "part").distinct(), "sig")  # pivots go to every part of their bucket
+        pairs = sig.join(pivots, ["sig", "part"]).where(fits)
         if first:  # one comparison for each member, with the smallest of its buckets' pivots, joins most of a group of copies
             pairs = pairs.groupBy(F.col("doc_id").alias("a")).agg(F.min("b").alias("b"))
         else:

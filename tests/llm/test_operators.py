@@ -60,6 +60,30 @@ def test_join(docs, corpus):
     assert [r.component_id for r in rows if r.doc_id is None] == [None]
 
 
+def brute_components_of_rows(rows):
+    """As brute_components, where an id may have several texts."""
+    sets = [({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()) for w in (t.split() for _, t in rows)]
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for (a, _), x in zip(rows, sets, strict=True):
+            for (b, _), y in zip(rows, sets, strict=True):
+                if x and 100 * len(x & y) >= 80 * len(x | y):
+                    root[a] = root[b] = min(root[a], root[b])
+    return Counter((i, len(s), root[i]) for (i, _), s in zip(rows, sets, strict=True))
+
+
+def test_join_of_texts_that_share_ids(spark):
+    a, b = [" ".join(f"{c}{k}" for k in range(60)) for c in "ab"]
+    rows = [(1, a), (3, a), (3, b), (2, b + " end"), (7, "q w"), (7, a + " z"), (8, b), (9, "q w"), (9, "q w"), (10, "only here five words now"), (10, "")]
+    rng = np.random.default_rng(8)
+    for k in range(60):
+        own = [f"c{j}" for j in range(50)]
+        own[int(rng.integers(0, 50))] = f"d{rng.integers(0, 3)}"
+        rows.append((20 + int(rng.integers(0, 25)), " ".join(own[: 50 - int(rng.integers(0, 12))])))
+    got = ngramjoin.join_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter(map(tuple, got)) == brute_components_of_rows(rows)
+
+
 def test_join_of_many_near_copies(spark):
     """Frequent tokens: the pairs of token classes must find every link."""
     rng = np.random.default_rng(1)
@@ -147,6 +171,15 @@ def test_model(docs, corpus):
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == want
 
 
+def test_packing_of_special_tokens_in_other_cases(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_vocabulary())
+    texts = ["A <|ENDOFTEXT|> b", "x<|endoftext|>Y, Z.", "<|EndOfText|>", "<|STARTOFTEXT|> <|startoftext|>", "No <| Marks |> Here, THE End.", "<|endoftext|" + "A" * 30]
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in got} == {k: [*tok.encode(t, add_special_tokens=False).ids, 1] for k, t in enumerate(texts)}
+
+
 def brute_dedup(corpus):
     seen, want = {}, Counter()
     for i, t, *_ in sorted((c for c in corpus if c[0] is not None), key=lambda c: c[0]):
