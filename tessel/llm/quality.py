@@ -1,9 +1,9 @@
 """Quality rules: count features of a text and reject robust multivariate outliers by language and source.
 
-The verdict comes from minimum-covariance-determinant (MCD) estimates for each (lang, source): a start at medians and
+The verdict comes from minimum-covariance-determinant (MCD) estimates for each (lang, source): three first subsets by medians and
 quartiles, then concentration steps that keep the H_SHARE rows nearest by Mahalanobis distance and estimate mean and
-covariance from those. All of it is DataFrame expressions; quantiles come from bin counts, so their state is bounded by
-groups times bins, and a hot group is pre-aggregated in every task.
+covariance from those, until the determinant falls no more; the start with the least determinant gives the estimate. All of it is DataFrame
+expressions; quantiles come from bin counts, so their state is bounded by groups times bins, and a hot group is pre-aggregated in every task.
 
 Defined cases: a null or blank text has no words and fails the base rule; null languages or sources form groups of
 their own; rows of a group too small for an estimate of its own (fewer than MIN_GROUP x H_SHARE rows behind it) are judged by one over all
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-H_SHARE, STEPS, MIN_GROUP = 0.75, 2, 40
+H_SHARE, STEPS, MIN_GROUP = 0.75, 10, 40
+#: Fall of half a log determinant at which concentration ends; distances are binned, so that it may move a little for ever.
+TOLERANCE = 0.001
 #: Squared distance beyond which a row is rejected: the 0.999 quantile of chi-square with 4 degrees.
 CUTOFF = 18.467
 #: Standard deviations that stand in where a statistic hardly varies (as most texts have no symbols and no repeats, the covariance is then
@@ -84,22 +86,30 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, fl
     return bins.groupBy(*keys).agg(*(F.min(F.when(F.col("__q_run") >= share * F.col("__q_all"), (F.col("__q_bin") + 1) * BIN)).alias(name) for name, share in shares.items()))
 
 
-def estimate(rows: DataFrame) -> DataFrame:
-    """Mean and the Cholesky factor of the floored covariance for each group."""
-    aggs = [F.count(F.lit(1)).cast("double").alias("__q_m")]
-    aggs += [F.avg(z).alias(f"__q_u{j}") for j, z in enumerate(Z)]
-    aggs += [F.covar_pop(Z[i], Z[j]).alias(f"__q_v{i}{j}") for i in range(P) for j in range(i + 1)]
-    g = rows.groupBy(*GROUP).agg(*aggs)
-    for i in range(P):
-        for j in range(i + 1):
-            v = F.col(f"__q_v{i}{j}") * CONSISTENCY * F.col("__q_m") / (F.col("__q_m") + PRIOR_ROWS)
-            if i == j:
-                v = v + PRIOR_ROWS * PRIOR[i] ** 2 / (F.col("__q_m") + PRIOR_ROWS)
-                v = F.greatest(v, F.lit(FLOORS[i] ** 2))
-            for k in range(j):
-                v = v - F.col(f"__q_c{i}{k}") * F.col(f"__q_c{j}{k}")
-            g = g.withColumn(f"__q_c{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"__q_c{j}{j}"))
-    return g.select(*GROUP, "__q_m", *(f"__q_u{j}" for j in range(P)), *(f"__q_c{i}{j}" for i in range(P) for j in range(i + 1)))
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+FACTOR = [f"__q_c{i}{j}" for i, j in PAIRS]
+
+
+def estimate(near: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key the number of rows in the nearest H_SHARE, their mean, the Cholesky factor of their floored covariance, and half its log determinant.
+
+    Rows are summed by bins of their distance first, with their moments; only these sums meet by key.
+    """
+    sums = [F.count(F.lit(1)).alias("__q_k"), *(F.sum(z).alias(f"__q_e{j}") for j, z in enumerate(Z)), *(F.sum(F.col(Z[i]) * F.col(Z[j])).alias(f"__q_x{i}{j}") for i, j in PAIRS)]
+    bins = cut(near.groupBy(*keys, F.floor(F.col("__q_d0") / BIN).alias("__q_bin")).agg(*sums), "bins")
+    w = Window.partitionBy(*keys)
+    bins = bins.withColumns({"__q_run": F.sum("__q_k").over(w.orderBy("__q_bin")) - F.col("__q_k"), "__q_all": F.sum("__q_k").over(w)})
+    g = bins.where(F.col("__q_run") < H_SHARE * F.col("__q_all")).groupBy(*keys).agg(F.sum("__q_k").cast("double").alias("__q_m"), *(F.sum(c).alias(c) for c in (*(f"__q_e{j}" for j in range(P)), *(f"__q_x{i}{j}" for i, j in PAIRS))))
+    g = g.withColumns({f"__q_u{j}": F.col(f"__q_e{j}") / F.col("__q_m") for j in range(P)})
+    for i, j in PAIRS:
+        v = (F.col(f"__q_x{i}{j}") / F.col("__q_m") - F.col(f"__q_u{i}") * F.col(f"__q_u{j}")) * CONSISTENCY * F.col("__q_m") / (F.col("__q_m") + PRIOR_ROWS)
+        if i == j:
+            v = F.greatest(v + PRIOR_ROWS * PRIOR[i] ** 2 / (F.col("__q_m") + PRIOR_ROWS), F.lit(FLOORS[i] ** 2))
+        for k in range(j):
+            v = v - F.col(f"__q_c{i}{k}") * F.col(f"__q_c{j}{k}")
+        g = g.withColumn(f"__q_c{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"__q_c{j}{j}"))
+    g = g.withColumn("__q_det", sum((F.log(f"__q_c{i}{i}") for i in range(P)), F.lit(0.0)))
+    return g.select(*keys, "__q_m", "__q_det", *(f"__q_u{j}" for j in range(P)), *FACTOR)
 
 
 def distance(rows: DataFrame, name: str) -> DataFrame:
@@ -115,22 +125,30 @@ def distance(rows: DataFrame, name: str) -> DataFrame:
 
 
 def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """MCD estimates for each group of rows with GROUP and Z columns; every step's small table is written to the shared folder."""
+    """MCD estimates for each group of rows with GROUP and Z columns.
+
+    From medians and quartiles STARTS first subsets are chosen: the rows that lie nearest by the sum of squares, the sum and the greatest of their deviations.
+    Concentration steps go on from each until no group's determinant falls by more than TOLERANCE, at most so many; the least determinant wins.
+    """
     parts = rows.select(*GROUP, F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.col(z).alias("z")) for j, z in enumerate(Z)))).alias("__q_e"))
     parts = parts.select(*GROUP, F.col("__q_e.j").alias("__q_j"), F.col("__q_e.z").alias("__q_z"))
     quart = quantiles(parts, [*GROUP, "__q_j"], "__q_z", {"lo": 0.25, "mid": 0.5, "hi": 0.75})
     floor = F.element_at(F.array(*map(F.lit, FLOORS)), F.col("__q_j") + 1)
     quart = quart.withColumn("scale", F.greatest((F.col("hi") - F.col("lo")) / 1.349, floor))
-    start = cut(quart.groupBy(*GROUP).agg(*(F.max(F.when(F.col("__q_j") == j, F.col(c))).alias(f"__q_{c}{j}") for j in range(P) for c in ("mid", "scale"))), "mcd")
-    near = rows.join(start, GROUP)
-    near = near.withColumn("__q_d0", F.log(1 + sum(((F.col(Z[j]) - F.col(f"__q_mid{j}")) / F.col(f"__q_scale{j}")) ** 2 for j in range(P))))
-    near = near.select(*GROUP, *Z, "__q_d0")
-    for step in range(steps + 1):
-        edge = cut(quantiles(near, GROUP, "__q_d0", {"__q_edge": H_SHARE}), "mcd")
-        est = cut(estimate(near.join(edge, GROUP).where(F.col("__q_d0") <= F.col("__q_edge"))), "mcd")
-        if step < steps:
-            near = distance(rows.join(est, GROUP), "__q_d0").withColumn("__q_d0", F.log(1 + F.col("__q_d0"))).select(*GROUP, *Z, "__q_d0")
-    return est
+    first = cut(quart.groupBy(*GROUP).agg(*(F.max(F.when(F.col("__q_j") == j, F.col(c))).alias(f"__q_{c}{j}") for j in range(P) for c in ("mid", "scale"))), "mcd")
+    apart = [F.abs((F.col(z) - F.col(f"__q_mid{j}")) / F.col(f"__q_scale{j}")) for j, z in enumerate(Z)]
+    starts = [sum((a * a for a in apart), F.lit(0.0)), sum(apart, F.lit(0.0)), F.greatest(*apart)]
+    near = rows.join(first, GROUP).select(*GROUP, *Z, F.posexplode(F.array(*starts)).alias("__q_start", "__q_d0"))
+    keys, last = [*GROUP, "__q_start"], None
+    for _ in range(steps + 1):
+        est = cut(estimate(near.withColumn("__q_d0", F.log1p("__q_d0")), keys), "mcd")
+        if last is not None:
+            fall = F.max(F.col("old") - F.col("__q_det"))
+            if (est.join(last.select(*keys, F.col("__q_det").alias("old")), keys).agg(fall).first()[0] or 0) <= TOLERANCE:  # one number
+                break
+        near, last = distance(rows.join(est, GROUP), "__q_d0").select(*keys, *Z, "__q_d0"), est
+    of = [c for c in est.columns if c not in keys]
+    return est.groupBy(*GROUP).agg(F.min_by(F.struct(*of), F.struct("__q_det", "__q_start")).alias("b")).select(*GROUP, *(f"b.{c}" for c in of if c != "__q_det"))
 
 
 def group_estimates(groups: DataFrame, rows: DataFrame, steps: int, least: float) -> DataFrame:

@@ -237,6 +237,38 @@ def varied(rng, n):
     return [" ".join("abcdefgh"[: rng.integers(3, 8)] + str(rng.integers(0, 10**6)) for _ in range(rng.integers(60, 200))) for _ in range(n)]
 
 
+def test_quality_estimates_are_least_determinants(spark):
+    """The estimate's determinant is no greater than that of any subset that brute force finds by concentration from many random starts."""
+    rng = np.random.default_rng(6)
+    z = rng.normal(size=(120, 4)) @ rng.normal(size=(4, 4))
+    z[:25] = rng.normal(size=(25, 4)) * 0.1 + 12  # a tight cluster of outliers
+    rows = spark.createDataFrame([("g", "s", *map(float, r)) for r in z], [*quality.GROUP, *quality.Z])
+    got = quality.mcd(rows).first()
+    h, shrink = int(np.ceil(0.75 * len(z))), lambda m: quality.CONSISTENCY * m / (m + quality.PRIOR_ROWS)
+
+    def of(own):
+        cov = np.cov(z[own].T, bias=True) * shrink(len(own)) + np.diag([quality.PRIOR_ROWS * p * p / (len(own) + quality.PRIOR_ROWS) for p in quality.PRIOR])
+        return z[own].mean(axis=0), cov
+
+    best = (np.inf, None)
+    for _ in range(300):
+        own = rng.choice(len(z), 12, replace=False)
+        for _ in range(30):
+            mean, cov = of(own)
+            new = np.argsort(((z - mean) @ np.linalg.inv(cov) * (z - mean)).sum(axis=1))[:h]
+            if set(new) == set(own):
+                break
+            own = new
+        best = min(best, (float(np.log(np.linalg.det(of(own)[1]))), sorted(own.tolist())))
+    factor = np.zeros((4, 4))
+    for i, j in quality.PAIRS:
+        factor[i, j] = got[f"__q_c{i}{j}"]
+    mean = np.array([got[f"__q_u{j}"] for j in range(4)])
+    far = lambda m, c: ((z - m) @ np.linalg.inv(c) * (z - m)).sum(axis=1) > quality.CUTOFF
+    want = far(*of(best[1]))
+    assert 2 * np.log(np.diag(factor)).sum() <= best[0] + 0.1 and (far(mean, factor @ factor.T) == want).mean() > 0.98 and want[:25].all()
+
+
 def test_quality_rejects_texts_with_half_a_symbol_a_word(spark):
     rng = np.random.default_rng(3)
     good, bad = varied(rng, 200), [" | ".join(" ".join(t.split()[k : k + 2]) for k in range(0, 120, 2)) for t in varied(rng, 300) if len(t.split()) >= 120][:12]
