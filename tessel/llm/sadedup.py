@@ -38,7 +38,7 @@ LENGTH, GRAM = 50, 25
 RANGES = ((0, 12), (13, 25))
 CORE = LENGTH - 12
 #: Bytes of text in a chunk and in one pass over it, bytes of one suffix array, of those sorted together, and pieces of a core dealt to one task.
-CHUNK, PASS, BLOCK, BATCH, HOT = 12 << 20, 1 << 18, 4096, 1 << 19, 2_000
+CHUNK, PASS, BLOCK, BATCH, HOT = 4 << 20, 1 << 18, 4096, 1 << 19, 2_000
 _MASK = np.uint64((1 << 20) - 1)
 _LOW = np.uint64(0xFFFFFFFF)
 
