@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-H_SHARE, STEPS, MIN_GROUP = 0.75, 10, 40
+H_SHARE, STEPS, MIN_GROUP = 0.75, 3, 40
 #: Fall of half a log determinant at which concentration ends; distances are binned, so that it may move a little for ever.
 TOLERANCE = 0.001
 #: Squared distance beyond which a row is rejected: the 0.999 quantile of chi-square with 4 degrees.
