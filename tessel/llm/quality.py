@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import checked_broadcast, cut
 
 H_SHARE, STEPS, MIN_GROUP = 0.75, 3, 40
 #: Fall of half a log determinant at which concentration ends; distances are binned, so that it may move a little for ever.
@@ -176,6 +176,7 @@ def quality_rules(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, m
     kept = docs.columns if keep is None else keep
     d = cut(d.select(*kept, *GROUP, *Z, *COUNTS.values(), "__q_failed"), "quality")
     est = group_estimates(d.select(*GROUP).distinct(), d.where(~F.col("__q_failed")).select(*GROUP, *Z), steps, math.ceil(min_group * H_SHARE))
-    d = distance(d.join(est, GROUP, "left"), "__q_distance")
+    # One short row for each group: were its size not known here, all rows would be dealt by group, those of a hot one to a single task.
+    d = distance(d.join(checked_broadcast(cut(est, "mcd")), GROUP, "left"), "__q_distance")
     d = d.withColumn("__q_kept", ~F.col("__q_failed") & F.coalesce(F.col("__q_distance") <= cutoff, F.lit(True)))
     return d.select(*kept, *COUNTS.values(), "__q_failed", "__q_distance", "__q_kept")
