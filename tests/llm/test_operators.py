@@ -302,6 +302,50 @@ def test_decontamination(spark, docs):
     assert {r.doc_id: r.similarity for r in rows}[901] == 1.0
 
 
+def brute_matches(rows, items):
+    """All documents and items with a window of the item's length and weighted similarity of 0.8 or more: {(doc, item): {start: similarity}}."""
+    cut = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else ([tuple(w)] if w else [])
+    sets = {i: Counter(cut(t.lower().split())) for i, t in items}
+    held = Counter(x for s in sets.values() for x in s)
+    weigh = lambda s: {x: math.floor(1000 * n * math.log(1 + len(items) / held.get(x, 1)) + 0.5) for x, n in s.items()}
+    weights, out = {i: weigh(s) for i, s in sets.items()}, defaultdict(dict)
+    for d, text in rows:
+        w = text.lower().split()
+        for i, t in items:
+            n, b = len(t.split()), weights[i]
+            for start in range(max(1, len(w) - n + 1)):
+                a = weigh(Counter(cut(w[start : start + n])))
+                both = sum(min(v, b.get(x, 0)) for x, v in a.items())
+                if both >= 0.8 * (sum(a.values()) + sum(b.values()) - both):
+                    out[d, i][start] = both / (sum(a.values()) + sum(b.values()) - both)
+    return out
+
+
+def test_decontamination_recall_against_all_windows(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{k}" for k in range(400)]
+    draw = lambda n: rng.choice(vocabulary, n).tolist()
+    items = [(k, " ".join(draw(int(rng.integers(30, 70))))) for k in range(8)] + [(8, "one two three"), (9, "a " * 20)]
+    items.append((10, items[0][1]))  # repeated
+    rows = []
+    for d in range(400):
+        w = items[int(rng.integers(0, 8))][1].split()
+        for _ in range(int(rng.integers(0, 4))):
+            at, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[at : at + (kind != 1)] = [] if kind == 2 else draw(1)
+        rows.append((d, " ".join([*draw(int(rng.integers(0, 60))), *w, *draw(int(rng.integers(0, 60)))])))
+    rows += [(400, "so One two  three then"), (401, "a " * 60), (402, " ".join(draw(300)))]
+    want = brute_matches(rows, items)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got.keys() <= want.keys()
+    for key, r in got.items():
+        assert r.similarity == pytest.approx(want[key][r.start], abs=1e-6)
+    lost = want.keys() - got.keys()
+    print(f"decontamination: {len(want)} matches in all windows, {len(lost)} lost")
+    assert len(want) > 150 and len(lost) <= 0.01 * len(want)
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "a \\l <s> [INST] b"), (1, 1, "assistant", "x</s>"), (1, 2, None, None), (1, 3, "assistant", ""), (1, 4, "user\n", "tail <|turn|>"), (2, None, "user", "q"), (2, None, "user", "q"), (None, 1, "assistant", "z")]
     back = {r.conv_id: r for r in chat.read_back(chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
@@ -318,6 +362,21 @@ def test_licences(docs, spark):
     assert licenses.scan(docs).count() == docs.count()
 
 
+def test_licence_places_against_regular_expressions(docs, corpus, spark):
+    phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+    more = [(900 + k, t) for k, t in enumerate(["cc by cc by", "CC-BY, cc by\u00e9 cc by", "All rights\nreserved. all RIGHTS reserved", "general public licenses General  Public_License", "cc " * 3 + "by " * 2, "\u00e9 cc by " * 500])]
+    rows = [(i, t) for i, t, *_ in corpus] + more
+    want = []
+    for i, t in rows:
+        w = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        at = [(k, label) for p, label in phrases.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.encode().split()]
+        starts = [k for k, _ in at]
+        want.append((i, len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))))
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, want)) == sorted(repr((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in out)
+    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
+
+
 def test_secrets(spark, docs):
     held = secretscan.labelled_findings(1000, seed=99)
     x = np.array([secretscan.features(*f[:4]) for f in held], dtype=float)
