@@ -138,7 +138,8 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     first = cut(quart.groupBy(*GROUP).agg(*(F.max(F.when(F.col("__q_j") == j, F.col(c))).alias(f"__q_{c}{j}") for j in range(P) for c in ("mid", "scale"))), "mcd")
     apart = [F.abs((F.col(z) - F.col(f"__q_mid{j}")) / F.col(f"__q_scale{j}")) for j, z in enumerate(Z)]
     starts = [sum((a * a for a in apart), F.lit(0.0)), sum(apart, F.lit(0.0)), F.greatest(*apart)]
-    near = rows.join(first, GROUP).select(*GROUP, *Z, F.posexplode(F.array(*starts)).alias("__q_start", "__q_d0"))
+    # Numbers of groups are counted here as well; were these tables joined by a shuffle, all rows would be dealt by group.
+    near = rows.join(checked_broadcast(first), GROUP).select(*GROUP, *Z, F.posexplode(F.array(*starts)).alias("__q_start", "__q_d0"))
     keys, last = [*GROUP, "__q_start"], None
     for _ in range(steps + 1):
         est = cut(estimate(near.withColumn("__q_d0", F.log1p("__q_d0")), keys), "mcd")
@@ -146,7 +147,7 @@ def mcd(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             fall = F.max(F.col("old") - F.col("__q_det"))
             if (est.join(last.select(*keys, F.col("__q_det").alias("old")), keys).agg(fall).first()[0] or 0) <= TOLERANCE:  # one number
                 break
-        near, last = distance(rows.join(est, GROUP), "__q_d0").select(*keys, *Z, "__q_d0"), est
+        near, last = distance(rows.join(checked_broadcast(est), GROUP), "__q_d0").select(*keys, *Z, "__q_d0"), est
     of = [c for c in est.columns if c not in keys]
     return est.groupBy(*GROUP).agg(F.min_by(F.struct(*of), F.struct("__q_det", "__q_start")).alias("b")).select(*GROUP, *(f"b.{c}" for c in of if c != "__q_det"))
 
